@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import blank_to_null, strip
+from .vectors import bind
 
 # Page patterns in order of trial, and folders followed by a document id.
 PAGE_PATTERNS = [r"(?i)page[-_](\d+)", r"(?i)\bp(\d+)\b", r"^(\d+)\."]
@@ -43,28 +44,33 @@ def page_number(name: Column) -> Column:
 
 def path_metadata(uri: Column) -> Column:
     """struct(document_id, collection_id, unit_number, page_number, filename) of an object key."""
-    key = parse_uri(uri)["key"]
-    parts = F.split(key, "/")
-    name = F.element_at(parts, -1)
-    unit = F.when(F.size(parts) >= 2, F.try_element_at(parts, F.lit(-2)))
-    collection = F.when(F.size(parts) >= 3, F.try_element_at(parts, F.lit(-3)))
-    numeric = F.coalesce(collection.rlike(r"^\d+$") & unit.rlike(r"^\d+$"), F.lit(False))
-    folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-    marker = F.array_position(
-        F.transform(folders, lambda p: p.isin(DOCUMENT_FOLDERS)), F.lit(True)
-    )
-    named = F.when(marker > 0, F.try_element_at(parts, (marker + 1).cast("int")))
-    document = F.when(numeric, F.concat_ws("-", collection, unit)).otherwise(F.coalesce(named, unit))
-    return F.when(
-        key.isNotNull(),
-        F.struct(
+
+    def ids(parts: Column, near: Column) -> Column:
+        numeric = F.coalesce(near["collection"].rlike(r"^\d+$") & near["unit"].rlike(r"^\d+$"), F.lit(False))
+        named = F.when(near["marker"] > 0, F.try_element_at(parts, near["marker"] + 1))
+        document = F.when(numeric, F.concat_ws("-", near["collection"], near["unit"])).otherwise(
+            F.coalesce(named, near["unit"])
+        )
+        return F.struct(
             document.alias("document_id"),
-            F.when(numeric, collection).alias("collection_id"),
-            F.when(numeric, unit).alias("unit_number"),
-            page_number(name).alias("page_number"),
-            name.alias("filename"),
-        ),
-    )
+            F.when(numeric, near["collection"]).alias("collection_id"),
+            F.when(numeric, near["unit"]).alias("unit_number"),
+            page_number(F.element_at(parts, -1)).alias("page_number"),
+            F.element_at(parts, -1).alias("filename"),
+        )
+
+    def read(parts: Column) -> Column:
+        folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+        marker = F.array_position(F.transform(folders, lambda p: p.isin(DOCUMENT_FOLDERS)), F.lit(True))
+        near = F.struct(
+            F.when(F.size(parts) >= 3, F.try_element_at(parts, F.lit(-3))).alias("collection"),
+            F.when(F.size(parts) >= 2, F.try_element_at(parts, F.lit(-2))).alias("unit"),
+            marker.cast("int").alias("marker"),
+        )
+        return bind(near, lambda n: ids(parts, n))
+
+    key = parse_uri(uri)["key"]
+    return F.when(key.isNotNull(), bind(F.split(key, "/"), read))
 
 
 def result_key_metadata(key: Column, prefix: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .windows import latest_per, skew_join
+from .windows import hot_keys, latest_per, skew_join
 
 
 def purge_candidates(candidates: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -68,10 +68,11 @@ def cascade_ids(persons: DataFrame, ids: DataFrame, max_depth: int = 1000) -> Da
     from .relate import children_of
 
     children = cut_lineage(children_of(persons))
+    hot = cut_lineage(hot_keys(children, ["parent_id"]))
     reached = cut_lineage(ids.select("id").distinct())
     frontier = reached
     for _ in range(max_depth):
-        found = skew_join(children, frontier.withColumnRenamed("id", "parent_id"), ["parent_id"], "left_semi")
+        found = skew_join(children, frontier.withColumnRenamed("id", "parent_id"), ["parent_id"], "left_semi", hot)
         found = found.select(F.col("child_id").alias("id")).distinct()
         frontier = cut_lineage(found.join(reached, "id", "left_anti"))
         if frontier.isEmpty():

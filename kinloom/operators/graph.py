@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import present
 from ..functions.text import display_name
 from ..session import cut_lineage
-from .windows import first_per, rank_within, skew_join
+from .windows import first_per, hot_keys, rank_within, skew_join
 
 HIDDEN_EDGES = ["BAPTIZED_IN", "DIED_IN"]
 # The properties of the three vertex labels.
@@ -214,11 +214,12 @@ def descendants(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     One frontier join per generation; each frontier is written out, so that the next
     one does not redo it, and leaves out vertices already reached.
     """
-    children = edges.where(F.col("type") == "PARENT_OF").select("src", "dst").distinct()
+    children = cut_lineage(edges.where(F.col("type") == "PARENT_OF").select("src", "dst").distinct())
+    hot = cut_lineage(hot_keys(children, ["src"]))
     reached = roots.select("id").distinct().withColumn("distance", F.lit(0))
     frontier = reached
     for step in range(1, depth + 1):
-        found = skew_join(children, frontier.select(F.col("id").alias("src")), ["src"], "left_semi")
+        found = skew_join(children, frontier.select(F.col("id").alias("src")), ["src"], "left_semi", hot)
         found = found.select(F.col("dst").alias("id")).distinct().join(reached.select("id"), "id", "left_anti")
         frontier = cut_lineage(found.withColumn("distance", F.lit(step)))
         if frontier.isEmpty():
@@ -265,7 +266,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     )
     last = None
     for _ in range(max_rounds):
-        stars = cut_lineage(_small_star(_large_star(stars)))
+        stars = cut_lineage(_small_star(cut_lineage(_large_star(stars))))
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break
@@ -280,14 +281,15 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of a vertex move to its smallest neighbour (or itself)."""
     both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    moved = skew_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    larger = both.where("v > u")
+    moved = skew_join(larger, least, ["u"], hot=hot_keys(larger, ["u"])).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Smaller neighbours of a vertex, and the vertex, move to the smallest of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = skew_join(edges, least, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = skew_join(edges, least, ["u"], hot=hot_keys(edges, ["u"])).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -317,11 +319,12 @@ def generations(units: DataFrame, unit_edges: DataFrame, max_passes: int | None
     """
     levels = cut_lineage(units.select("unit").distinct().withColumn("level", F.lit(0)))
     edges = cut_lineage(unit_edges)
+    hot = cut_lineage(hot_keys(edges, ["parent_unit"]))
     cap = max_passes if max_passes is not None else 4 * levels.count() + 20
     risen = levels
     for _ in range(cap):
         pushed = (
-            skew_join(edges, risen.select(F.col("unit").alias("parent_unit"), "level"), ["parent_unit"])
+            skew_join(edges, risen.select(F.col("unit").alias("parent_unit"), "level"), ["parent_unit"], hot=hot)
             .groupBy(F.col("child_unit").alias("unit"))
             .agg((F.max("level") + 1).alias("want"))
         )

@@ -18,9 +18,11 @@ from ..functions.phonetic import phonetic_codes
 from ..functions.scores import present
 from ..functions.vectors import cosine
 from .graph import connected_components
-from .windows import all_of, any_of, skew_join, top_k_per
+from ..session import cut_lineage
+from .windows import all_of, any_of, hot_counts, hot_keys, skew_join, top_k_per
 
 EXACT = 1.0 - 0.0001
+BLOCK_ROWS = 2000
 LOSSLESS_ABOVE = 0.79
 COMPONENTS = ["vector_similarity", "phonetic_similarity", "date_similarity", "location_similarity"]
 
@@ -245,7 +247,7 @@ def profile_pairs(profiles: DataFrame, kind: str, threshold: float) -> DataFrame
     and the pair of a profile with itself when it has copies."""
     k = KINDS[kind]
     columns = scoring_columns(kind)
-    keyed = with_block_keys(profiles, kind, threshold)
+    keyed = cut_lineage(with_block_keys(profiles, kind, threshold))
     body = F.struct(*columns)
     undated = all_of([F.col(d).isNull() for d in k.dates])
     left = keyed.select(
@@ -256,7 +258,10 @@ def profile_pairs(profiles: DataFrame, kind: str, threshold: float) -> DataFrame
         F.col("profile").alias("q"), body.alias("b"), undated.alias("q_undated"), "right_keys",
         F.explode("right_keys").alias("key"),
     )
-    met = skew_join(left, right, ["key"])
+    # A block with many profiles is dealt out: the work of a task stays near
+    # BLOCK_ROWS rows against the block, and only pairs at the threshold come out.
+    blocks = keyed.select(F.explode("right_keys").alias("key"))
+    met = skew_join(left, right, ["key"], hot=hot_keys(blocks, ["key"], BLOCK_ROWS))
     # A pair sharing several keys is kept at the smallest one. Two dated or two undated
     # sides meet from both directions, an undated and a dated one only from the first.
     once = (F.col("p") < F.col("q")) | (F.col("p_undated") & ~F.col("q_undated"))
@@ -292,12 +297,14 @@ def find_duplicates(
     if candidate_mode == "knn":
         return _nearest_then_score(df, kind, threshold, limit)
     records = profiles_of(df.where(F.col("embedding").isNotNull()), kind)
-    profiles = distinct_profiles(records, kind)
-    pairs = profile_pairs(profiles, kind, threshold)
-    return _best_per_record(records, pairs, kind, limit)
+    profiles = cut_lineage(distinct_profiles(records, kind))
+    pairs = cut_lineage(profile_pairs(profiles, kind, threshold))
+    return _best_per_record(records, profiles, pairs, kind, limit)
 
 
-def _best_per_record(records: DataFrame, pairs: DataFrame, kind: str, limit: int) -> DataFrame:
+def _best_per_record(
+    records: DataFrame, profiles: DataFrame, pairs: DataFrame, kind: str, limit: int
+) -> DataFrame:
     """Spread profile pairs over the records.
 
     A record needs the smallest limit + 1 ids of a profile at most, and the best
@@ -326,7 +333,7 @@ def _best_per_record(records: DataFrame, pairs: DataFrame, kind: str, limit: int
         F.array_sort(F.collect_list(F.struct("rank", "duplicate_id", "m"))).alias("offers")
     )
     wanted = _eligible(records, kind).select("id", "profile")
-    found = skew_join(wanted, lists, ["profile"])
+    found = skew_join(wanted, lists, ["profile"], hot=hot_counts(profiles, ["profile"], "copies"))
     mine = F.slice(F.filter("offers", lambda o: o["duplicate_id"] != F.col("id")), 1, limit)
     return found.select("id", F.posexplode(mine).alias("pos", "o")).select(
         "id",
@@ -368,7 +375,7 @@ def partners_within_days(df: DataFrame, block: list[str], date: str, days: int,
         "count",
     )
     totals = seen.groupBy(*block, date).agg(F.sum("count").alias("_near"))
-    return skew_join(df, totals, [*block, date]).withColumn(name, F.col("_near") - 1).drop("_near")
+    return skew_join(df, totals, [*block, date], hot=hot_counts(per_day, [*block, date], "count")).withColumn(name, F.col("_near") - 1).drop("_near")
 
 
 # ---- candidates, merges, audit --------------------------------------------
@@ -409,19 +416,22 @@ def merge_map(df: DataFrame, kind: str, batch: str = "source_batch_id") -> DataF
     """
     df = with_codes(df, kind)
     records = profiles_of(_eligible(df, kind), kind)
-    exact = profile_pairs(distinct_profiles(records, kind), kind, EXACT)
+    profiles = cut_lineage(distinct_profiles(records, kind))
+    exact = cut_lineage(profile_pairs(profiles, kind, EXACT))
+    hot = hot_counts(profiles, ["profile"], "copies")
     merged = connected_components(exact.select(F.col("p").alias("src"), F.col("q").alias("dst")), "src", "dst")
-    inside = skew_join(records.select("profile", "id", batch), merged.withColumnRenamed("id", "profile"), ["profile"])
+    merged = merged.withColumnRenamed("id", "profile")
+    inside = cut_lineage(skew_join(records.select("profile", "id", batch), merged, ["profile"], hot=hot))
     best = (
         exact.select(F.explode(F.array("p", "q")).alias("profile"), "composite_score")
         .groupBy("profile")
         .agg(F.max("composite_score").alias("composite_score"))
     )
     survivors = inside.groupBy("component").agg(F.min(F.struct(batch, "id")).alias("kept"))
-    mapped = skew_join(inside, survivors, ["component"]).where(F.col("id") != F.col("kept.id"))
-    return skew_join(mapped.select("profile", "id", F.col("kept.id").alias("survivor_id")), best, ["profile"]).drop(
-        "profile"
-    )
+    mapped = skew_join(inside, survivors, ["component"], hot=hot_keys(inside, ["component"]))
+    mapped = mapped.where(F.col("id") != F.col("kept.id"))
+    mapped = mapped.select("profile", "id", F.col("kept.id").alias("survivor_id"))
+    return skew_join(mapped, best, ["profile"], hot=hot).drop("profile")
 
 
 def apply_merge(table: DataFrame, mapping: DataFrame, references: list[str]) -> DataFrame:
@@ -436,7 +446,7 @@ def apply_merge(table: DataFrame, mapping: DataFrame, references: list[str]) ->
 def repoint(table: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
     moved = mapping.select(F.col("id").alias(column), F.col("survivor_id").alias("_to"))
     return (
-        skew_join(table, moved, [column], "left")
+        skew_join(table, moved, [column], "left", hot_keys(table, [column]))
         .withColumn(column, F.coalesce("_to", column))
         .drop("_to")
         .select(*table.columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import stem
 from ..functions.text import date_with_flag, display_name
-from .windows import skew_join
+from .windows import hot_keys, skew_join
 
 
 def with_parents(persons: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def with_parents(persons: DataFrame) -> DataFrame:
             F.col("first_name").alias(f"{role}_first_name"),
             F.col("last_name").alias(f"{role}_last_name"),
         )
-        out = skew_join(out, names, [f"{role}_id"], "left")
+        out = skew_join(out, names, [f"{role}_id"], "left", hot_keys(persons, [f"{role}_id"]))
     return out
 
 
@@ -34,7 +34,7 @@ def with_spouses(marriages: DataFrame, persons: DataFrame) -> DataFrame:
         names = persons.select(
             F.col("id").alias(f"{side}_id"), display_name(F.col("first_name"), F.col("last_name")).alias(f"{side}_label")
         )
-        out = skew_join(out, names, [f"{side}_id"], "left")
+        out = skew_join(out, names, [f"{side}_id"], "left", hot_keys(marriages, [f"{side}_id"]))
     return out
 
 
@@ -129,7 +129,7 @@ def enrich_candidates(candidates: DataFrame, tables: dict[str, tuple[DataFrame,
             body = table.select(
                 F.col("id").alias(f"{side}_id"), F.to_json(F.struct(*columns)).alias(side)
             )
-            mine = skew_join(mine, body, [f"{side}_id"])
+            mine = skew_join(mine, body, [f"{side}_id"], hot=hot_keys(candidates, [f"{side}_id"]))
         parts.append(mine)
     out = parts[0]
     for p in parts[1:]:
@@ -145,7 +145,8 @@ def orphan_candidates(candidates: DataFrame, tables: dict[str, DataFrame]) -> Da
         ids = part if ids is None else ids.unionByName(part)
     whole = candidates
     for side in ("record1_id", "record2_id"):
-        whole = skew_join(whole, ids.withColumnRenamed("id", side), ["record_type", side], "left_semi")
+        keys = ["record_type", side]
+        whole = skew_join(whole, ids.withColumnRenamed("id", side), keys, "left_semi", hot_keys(candidates, keys))
     return candidates.join(whole.select("id"), "id", "left_anti")
 
 
@@ -167,10 +168,10 @@ def insert_new(new: DataFrame, old: DataFrame, keys: list[str], unordered: bool
 def with_audit(keys: DataFrame, audit: DataFrame) -> DataFrame:
     """Completeness joined back to page keys; the audit's total wins."""
     info = audit.select("document_id", "status", F.col("expected_pages").alias("_total"))
-    out = skew_join(keys, info, ["document_id"], "left")
+    out = skew_join(keys, info, ["document_id"], "left", hot_keys(keys, ["document_id"]))
     return out.withColumn("total_pages", F.coalesce("_total", "total_pages")).drop("_total")
 
 
 def only_complete(keys: DataFrame, audit: DataFrame) -> DataFrame:
     done = audit.where(F.col("status") == "complete").select("document_id")
-    return skew_join(keys, done, ["document_id"], "left_semi")
+    return skew_join(keys, done, ["document_id"], "left_semi", hot_keys(keys, ["document_id"]))

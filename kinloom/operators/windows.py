@@ -116,7 +116,7 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], rank: str =
     """Position inside a key that may be hot: the global position less the key's first one."""
     placed = sort_rank(df, [*[F.asc(k) for k in keys], *order], "_global")
     first = placed.groupBy(*keys).agg(F.min("_global").alias("_first"))
-    return skew_join(placed, first, keys).withColumn(rank, F.col("_global") - F.col("_first") + 1).drop(
+    return placed.join(first, keys).withColumn(rank, F.col("_global") - F.col("_first") + 1).drop(
         "_global", "_first"
     )
 
@@ -126,20 +126,30 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
 
     At most MAX_HOT_KEYS rows, so it may be broadcast whatever the data size.
     """
-    counts = df.groupBy(*keys).count().where(F.col("count") > hot_rows)
-    salts = F.least(F.lit(MAX_SALTS), F.ceil(F.col("count") / hot_rows)).cast("int")
-    return counts.orderBy(F.desc("count")).limit(MAX_HOT_KEYS).select(*keys, salts.alias("_salts"))
+    return hot_counts(df.groupBy(*keys).count(), keys, "count", hot_rows)
+
+
+def hot_counts(counts: DataFrame, keys: list[str], count: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``hot_keys`` of a table that already counts rows per key."""
+    salts = F.least(F.lit(MAX_SALTS), F.ceil(F.col(count) / hot_rows)).cast("int")
+    hot = counts.where(F.col(count) > hot_rows).orderBy(F.desc(count)).limit(MAX_HOT_KEYS)
+    return hot.select(*keys, salts.alias("_salts"))
 
 
 def skew_join(
-    big: DataFrame, other: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = HOT_ROWS
+    big: DataFrame, other: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None
 ) -> DataFrame:
     """Equi join in which rows of ``big`` with a hot key are dealt over several tasks.
 
-    Rows of ``other`` with that key are copied to each of them. ``how`` may be inner,
-    left, left_semi or left_anti: every row of ``big`` meets all its partners once.
+    ``hot`` comes from ``hot_keys`` of a stored table (or of a written step), so that
+    finding hot keys does not redo the work behind ``big``; rows of ``other`` with such
+    a key are copied to each task. Without ``hot`` the split is left to the adaptive
+    skew join. ``how`` may be inner, left, left_semi or left_anti: every row of ``big``
+    meets all its partners once.
     """
-    hot = F.broadcast(hot_keys(big, keys, hot_rows))
+    if hot is None:
+        return big.join(other, keys, how)
+    hot = F.broadcast(hot)
     deal = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if _hashable(big, c)]), F.col("_salts"))
     left = big.join(hot, keys, "left").withColumn("_salt", F.coalesce(deal, F.lit(0)).cast("int")).drop("_salts")
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)

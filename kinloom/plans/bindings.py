@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .catalog import table
 
 
+MONTHS_SQL = "['JAN','FEB','MAR','APR','MAY','JUN','JUL','AUG','SEP','OCT','NOV','DEC']"
+
+
 class Spark:
     @staticmethod
     def div(a: str, b: int) -> str:

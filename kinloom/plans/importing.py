@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import graph, records
 from ..operators.features import with_embedding
 from ..operators.linkage import apply_merge, merge_map, repoint
+from ..session import cut_lineage
 from ..sources.gedcom import read_gedcom_lines
 
 
@@ -38,7 +39,8 @@ def tables_of_records(tree: DataFrame) -> dict[str, DataFrame]:
 
 def import_files(spark: SparkSession, paths: str | list[str], vectors: bool = True) -> dict[str, DataFrame]:
     lines, rejected = read_gedcom_lines(spark, paths)
-    tables = tables_of_records(records.assemble_records(lines))
+    # The files are parsed once; every table reads the written records.
+    tables = tables_of_records(cut_lineage(records.assemble_records(lines)))
     if vectors:
         for name, kind in (("persons", "person"), ("baptisms", "baptism"), ("marriages", "marriage"), ("deaths", "death")):
             tables[name] = with_embedding(tables[name], kind)
