@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import bind
+
 # Fixed weights of the composite score and the value of a missing component.
 WEIGHTS = {"vector": 0.40, "phonetic": 0.30, "date": 0.20, "location": 0.10}
 MISSING = 0.3
@@ -21,9 +23,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def mean_present(parts: list[Column], empty: float = 0.0) -> Column:
     """Mean of the non-null parts."""
-    known = F.array_compact(F.array(*parts))
-    total = F.aggregate(known, F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.size(known) > 0, total / F.size(known)).otherwise(F.lit(empty))
+
+    def mean(known: Column) -> Column:
+        total = F.aggregate(known, F.lit(0.0), lambda s, x: s + x)
+        return F.when(F.size(known) > 0, total / F.size(known)).otherwise(F.lit(empty))
+
+    return bind(F.array_compact(F.array(*parts)), mean)
 
 
 def date_similarity(a: Column, b: Column) -> Column:

@@ -2,8 +2,8 @@
 
 Records that agree in every scoring column are folded into one profile first, so
 many copies of a record cost one comparison. Profiles are paired through shared
-sound codes and date slices; at thresholds above 0.79 no pair can be missed, since
-without a shared code a score stays at or below it.
+sound codes and date slices; at thresholds above 0.79 no pair can be missed (the
+argument is at ``with_block_keys``).
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..functions.phonetic import phonetic_codes
 from ..functions.scores import present
-from ..functions.vectors import cosine
+from ..functions.vectors import bind, cosine
 from .graph import connected_components
 from ..session import cut_lineage
 from .windows import all_of, any_of, hot_counts, hot_keys, skew_join, top_k_per
 
 EXACT = 1.0 - 0.0001
 BLOCK_ROWS = 2000
+SCORE_DIGITS = 9  # closer scores tie and are ordered by id
 LOSSLESS_ABOVE = 0.79
 COMPONENTS = ["vector_similarity", "phonetic_similarity", "date_similarity", "location_similarity"]
 
@@ -127,55 +128,131 @@ def _vetoed(kind: str, a, b) -> Column:
     return F.coalesce(present(a(gender)) & present(b(gender)) & (a(gender) != b(gender)), F.lit(False))
 
 
-def composite_score(pairs: DataFrame, kind: str, threshold: float | None = None, mode: str = "full") -> DataFrame:
+def _components(kind: str, a, b, vetoed: Column) -> list[Column]:
+    """Name, date and place scores, null where a side has nothing to compare."""
+    have = both_have(kind, a, b)
+    return [
+        F.when(have["names"] & ~vetoed, name_score(kind, a, b)).alias(COMPONENTS[1]),
+        F.when(have["dates"] & ~vetoed, date_score(kind, a, b)).alias(COMPONENTS[2]),
+        F.when(have["places"] & ~vetoed, place_score(kind, a, b)).alias(COMPONENTS[3]),
+    ]
+
+
+def composite_score(pairs: DataFrame, kind: str, mode: str = "full") -> DataFrame:
     """Score pairs whose sides are the struct columns ``a`` and ``b``.
 
-    With a threshold, the cheap components are judged first: a pair that could not
-    reach it with equal vectors is dropped before its vectors are compared.
     ``mode="vector_only"`` scores by the vectors alone. A vetoed pair scores 0.
     """
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    have = both_have(kind, a, b)
     vetoed = _vetoed(kind, a, b)
+    vector = cosine(a("embedding"), b("embedding"))
     if mode == "vector_only":
-        nothing = F.lit(None).cast("double")
-        out = pairs.withColumns(
-            {"vector_similarity": cosine(a("embedding"), b("embedding"))} | {c: nothing for c in COMPONENTS[1:]}
-        )
-        out = out.withColumn("composite_score", F.when(vetoed, 0.0).otherwise(F.col("vector_similarity")))
-        return out if threshold is None else out.where(F.col("composite_score") >= threshold)
-    out = pairs.withColumns(
-        {
-            "phonetic_similarity": F.when(have["names"] & ~vetoed, name_score(kind, a, b)),
-            "date_similarity": F.when(have["dates"] & ~vetoed, date_score(kind, a, b)),
-            "location_similarity": F.when(have["places"] & ~vetoed, place_score(kind, a, b)),
-        }
-    )
-    parts = [F.col(c) for c in COMPONENTS]
-    if threshold is not None and threshold > 0:
-        bound = scores.composite(F.lit(1.0), *parts[1:])
-        out = out.where(~vetoed & (bound >= threshold - 1e-9))
-    out = out.withColumn("vector_similarity", cosine(a("embedding"), b("embedding")))
-    out = out.withColumn("composite_score", F.when(vetoed, 0.0).otherwise(scores.composite(*parts)))
-    return out if threshold is None else out.where(F.col("composite_score") >= threshold)
+        parts = [F.lit(None).cast("double").alias(c) for c in COMPONENTS[1:]]
+        score = F.col(COMPONENTS[0])
+    else:
+        parts = _components(kind, a, b, vetoed)
+        score = scores.composite(*[F.col(c) for c in COMPONENTS])
+    out = pairs.select("*", vector.alias(COMPONENTS[0]), *parts)
+    return out.withColumn("composite_score", F.when(vetoed, 0.0).otherwise(score))
+
+
+def pairs_at_threshold(pairs: DataFrame, kind: str, threshold: float, keys: list[str]) -> DataFrame:
+    """The scored pairs that reach a threshold above 0, as (keys, components, composite_score).
+
+    The cheap components are judged first: a pair that would miss the threshold with
+    equal vectors never has its vectors compared. The scores are made inside one
+    generator, so that no pushed-down filter works them out a second time.
+    """
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    vetoed = _vetoed(kind, a, b)
+    cheap = F.struct(*_components(kind, a, b, F.lit(False)))
+
+    def whole(m: Column, vector: Column) -> Column:
+        parts = [m[c] for c in COMPONENTS[1:]]
+        score = scores.composite(vector, *parts)
+        named = [p.alias(c) for p, c in zip(parts, COMPONENTS[1:])]
+        return F.struct(vector.alias(COMPONENTS[0]), *named, score.alias("composite_score"))
+
+    def judged(m: Column) -> Column:
+        reachable = scores.composite(F.lit(1.0), *[m[c] for c in COMPONENTS[1:]]) >= threshold - 1e-9
+        return F.when(reachable, bind(cosine(a("embedding"), b("embedding")), lambda v: whole(m, v)))
+
+    scored = F.array(F.when(~vetoed, bind(cheap, judged)))
+    kept = F.filter(scored, lambda m: F.coalesce(m["composite_score"] >= threshold, F.lit(False)))
+    return pairs.select(*keys, F.inline(kept))
 
 
 # ---- blocking -------------------------------------------------------------
 
 
-def _code_keys(kind: str) -> Column:
-    """One entry per (name part, code). Sub-score parts of one kind are kept apart."""
-    per_part = [
-        F.transform(F.col(codes_of(c)), lambda code, i=i: F.concat(F.lit(f"{i}:"), code))
-        for i, c in enumerate(KINDS[kind].name_columns())
+def _unit_codes(kind: str) -> list[Column]:
+    """Codes of each unit that the name score averages: name parts, or groups of them.
+
+    A code carries the number of its name part, since parts are compared in pairs.
+    """
+    k = KINDS[kind]
+    empty = F.array().cast("array<string>")
+
+    def tag(number: int):
+        return lambda code: F.concat(F.lit(f"{number}:"), code)
+
+    tagged = {
+        c: F.transform(F.coalesce(F.col(codes_of(c)), empty), tag(i)) for i, c in enumerate(k.name_columns())
+    }
+    if len(k.names) == 1:
+        return [tagged[c] for c in k.names[0]]
+    return [F.concat(*[tagged[c] for c in group]) for group in k.names]
+
+
+def _joined_codes(units: list[Column]) -> Column:
+    """One key per pair of codes from two units."""
+    both = [
+        F.flatten(F.transform(x, lambda c: F.transform(y, lambda d: F.concat(c, F.lit("&"), d))))
+        for i, x in enumerate(units)
+        for y in units[i + 1 :]
     ]
-    return F.array_distinct(F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<string>")) for p in per_part])))
+    return F.concat(*both)
+
+
+def _lone_codes(kind: str, units: list[Column], left: bool) -> Column:
+    """Codes of name parts that are the only part known on both sides.
+
+    A key holds which parts either side knows, so fully named records meet through it
+    only with records that know nothing else in common.
+    """
+    columns = KINDS[kind].name_columns()
+    mine = sum((present(F.col(c)).cast("int") * (1 << i) for i, c in enumerate(columns)), F.lit(0))
+    masks = F.array(*[F.lit(m) for m in range(1, 1 << len(columns))])
+
+    def alone(part: int):
+        return lambda mask: mask.bitwiseAND(mine) == (1 << part)
+
+    def keys_of(others: Column):
+        def with_masks(code: Column) -> Column:
+            def key(mask: Column) -> Column:
+                ends = (mine, mask) if left else (mask, mine)
+                return F.concat_ws("|", code, *[e.cast("string") for e in ends])
+
+            return F.transform(others, key)
+
+        return with_masks
+
+    def combined(codes: Column):
+        return lambda others: F.flatten(F.transform(codes, keys_of(others)))
+
+    return F.concat(
+        *[bind(F.filter(masks, alone(i)), combined(codes)) for i, codes in enumerate(units)]
+    )
 
 
 def _spread(base: Column, tags: Column) -> Column:
     """Hash of every (key, tag) combination; a clash only adds a pair to be scored."""
-    pairs = F.transform(base, lambda k: F.transform(tags, lambda t: F.xxhash64(k, t)))
-    return F.array_distinct(F.flatten(pairs))
+    return bind(
+        tags,
+        lambda known: F.array_distinct(
+            F.flatten(F.transform(base, lambda k: F.transform(known, lambda t: F.xxhash64(k, t))))
+        ),
+    )
 
 
 def _slice(date: Column, days: int) -> Column:
@@ -196,37 +273,57 @@ def _at(name: str, date: Column, days: int) -> Column:
 def days_for_score(score: float) -> int:
     """Largest day difference whose date similarity still reaches ``score`` > 0."""
     years = 10 * (1 - score) if score >= 0.5 else 5 + 10 * (0.5 - score)
-    return int(years * 365.25) + 1
+    return int(years * 365.25 + 1e-6)
 
 
 def with_block_keys(df: DataFrame, kind: str, threshold: float) -> DataFrame:
     """Add ``left_keys`` and ``right_keys``; pairs worth scoring share one of them.
 
-    Events lie within their window: slices as wide as the window, each left row also
-    looks into the two neighbours. Persons that both have dates need a date score of
-    (threshold - 0.8) / 0.2 or more, which gives the slice width; an undated person
-    meets every person with the code.
+    Vectors, dates and places give 0.7 at most, so above 0.79 a pair shares a code:
+    - codes of two units (name parts, or the two name groups of a record), or
+    - a code of the only part known on both sides, or
+    - one unit among several: the name score is then 0.5 or less and the dates must
+      score (threshold - 0.65) / 0.2, which at 0.85 means the same day.
+    In the first two cases the dates must still score (threshold - 0.8) / 0.2, or lie
+    in the window of an event; an undated person meets everyone with the key.
     """
     k = KINDS[kind]
-    if threshold <= LOSSLESS_ABOVE and not k.window_days:
-        raise ValueError(f"blocking may lose pairs at {threshold}; use candidate_mode='knn'")
-    base = _code_keys(kind) if threshold > LOSSLESS_ABOVE else F.array(F.lit("any"))
+    if threshold <= LOSSLESS_ABOVE:
+        if not k.window_days:
+            raise ValueError(f"blocking may lose pairs at {threshold}; use candidate_mode='knn'")
+        near, own = _around("d", F.col(k.dates[0]), k.window_days), _at("d", F.col(k.dates[0]), k.window_days)
+        anyone = F.array(F.lit("any"))
+        return df.withColumn("left_keys", _spread(anyone, near)).withColumn("right_keys", _spread(anyone, own))
+
+    units = _unit_codes(kind)
+    left_base = right_base = _joined_codes(units)
+    if len(k.names) == 1:
+        left_base = F.concat(left_base, _lone_codes(kind, units, True))
+        right_base = F.concat(right_base, _lone_codes(kind, units, False))
+    needed, needed_single = (threshold - 0.8) / 0.2, (threshold - 0.65) / 0.2
     everyone = F.array(F.lit("*"))
     if k.window_days:
-        date = F.col(k.dates[0])
-        left, right = _around("d", date, k.window_days), _at("d", date, k.window_days)
+        near, own = _around("d", F.col(k.dates[0]), k.window_days), _at("d", F.col(k.dates[0]), k.window_days)
+    elif needed <= 0:
+        near = own = everyone
     else:
-        needed = (threshold - 0.8) / 0.2
-        if needed <= 0:
-            left = right = everyone
-        else:
-            width = days_for_score(needed)
-            near = F.concat(*[_around(f"{i}|", F.col(d), width) for i, d in enumerate(k.dates)])
-            own = F.concat(*[_at(f"{i}|", F.col(d), width) for i, d in enumerate(k.dates)])
-            undated = all_of([F.col(d).isNull() for d in k.dates])
-            left = F.when(undated, everyone).otherwise(near)
-            right = F.concat(own, everyone)
-    return df.withColumn("left_keys", _spread(base, left)).withColumn("right_keys", _spread(base, right))
+        width = days_for_score(needed)
+        undated = all_of([F.col(d).isNull() for d in k.dates])
+        near = F.when(undated, everyone).otherwise(
+            F.concat(*[_around(f"{i}|", F.col(d), width) for i, d in enumerate(k.dates)])
+        )
+        own = F.concat(everyone, *[_at(f"{i}|", F.col(d), width) for i, d in enumerate(k.dates)])
+    left, right = _spread(left_base, near), _spread(right_base, own)
+    if needed_single <= 1 + 1e-9:
+        width = days_for_score(min(needed_single, 1.0))
+        look = _around if width else _at
+        single = F.concat(*units)
+        tags = [f"s{i}|" for i in range(len(k.dates))]
+        close = F.concat(*[look(t, F.col(d), max(width, 1)) for t, d in zip(tags, k.dates)])
+        there = F.concat(*[_at(t, F.col(d), max(width, 1)) for t, d in zip(tags, k.dates)])
+        left = F.array_distinct(F.concat(left, _spread(single, close)))
+        right = F.array_distinct(F.concat(right, _spread(single, there)))
+    return df.withColumn("left_keys", left).withColumn("right_keys", right)
 
 
 def profiles_of(df: DataFrame, kind: str) -> DataFrame:
@@ -275,7 +372,7 @@ def profile_pairs(profiles: DataFrame, kind: str, threshold: float) -> DataFrame
     if k.window_days:
         own = own.where(F.col(f"a.{k.dates[0]}").isNotNull())
     both = met.select("p", "a", "q", "b").unionByName(own)
-    return composite_score(both, kind, threshold).select("p", "q", *COMPONENTS, "composite_score")
+    return pairs_at_threshold(both, kind, threshold, ["p", "q"])
 
 
 def _eligible(df: DataFrame, kind: str) -> DataFrame:
@@ -325,7 +422,7 @@ def _best_per_record(
         measured.alias("m"),
     ).select("xy.x", "xy.y", "m")
     named = both_ways.join(members.withColumnRenamed("profile", "y"), "y")
-    order = [F.desc("m.composite_score")]
+    order = [F.desc(F.round("m.composite_score", SCORE_DIGITS))]
     short = top_k_per(named, ["x"], [*order, F.element_at("ids", 1).asc()], limit + 1)
     offered = short.select("x", "m", F.explode("ids").alias("duplicate_id"))
     offered = top_k_per(offered, ["x"], [*order, F.asc("duplicate_id")], limit + 1)
@@ -355,8 +452,8 @@ def _nearest_then_score(df: DataFrame, kind: str, threshold: float, limit: int)
         .join(_eligible(df, kind).select("id", body.alias("a")), "id")
         .join(df.select(F.col("id").alias("duplicate_id"), body.alias("b")), "duplicate_id")
     )
-    scored = composite_score(pairs, kind, threshold)
-    order = [F.desc("composite_score"), F.asc("duplicate_id")]
+    scored = pairs_at_threshold(pairs, kind, threshold, ["id", "duplicate_id"])
+    order = [F.desc(F.round("composite_score", SCORE_DIGITS)), F.asc("duplicate_id")]
     return top_k_per(scored, ["id"], order, limit).select(
         "id", "duplicate_id", "rank", *COMPONENTS, "composite_score"
     )

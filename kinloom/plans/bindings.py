@@ -145,7 +145,7 @@ def _order_events(d) -> str:
            CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE concat('f', o_custkey % 11) END AS name_c,
            {d.array("concat('k', o_custkey % 50)", "concat('q', o_custkey % 20)")} AS codes_a,
            {d.array("concat('m', o_custkey % 7)")} AS codes_b,
-           {d.array("concat('f', o_custkey % 11)", "'f'")} AS codes_c,
+           {d.array("concat('f', o_custkey % 11)", "concat('g', o_custkey % 33)")} AS codes_c,
            CAST(o_orderdate AS DATE) AS event_date, n_name AS parish,
            CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS village,
            {d.array("CAST(o_custkey % 50 AS DOUBLE) / 50", "CAST(o_custkey % 7 AS DOUBLE) / 7", "o_totalprice / 500000", "CAST(1 AS DOUBLE)")} AS embedding

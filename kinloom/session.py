@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder, so that a lost executor only costs a reread."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` under the checkpoint folder and go on from the written table.
+
+    A lost executor then costs a reread instead of the steps before. Unlike a plain
+    checkpoint the rows are worked out once, later steps read only the columns they
+    use, and the size on disk is known to the planner.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
