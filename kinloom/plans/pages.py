@@ -244,7 +244,7 @@ def report_totals(spark, d):
 
 GROUP_MESSAGES = """
     SELECT l_orderkey AS document_id, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_linenumber END AS page_number,
-           CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS INT) % 5 END AS total_pages, l_shipdate AS at,
+           CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS INT) % 5 END AS total_pages, l_shipdate AS moment,
            l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS arrival FROM {lineitem}"""
 
 
@@ -277,8 +277,8 @@ def expected_pages(spark, d):
     "group_status",
     with_views(
         f"""SELECT document_id, CASE WHEN unique_pages >= expected_pages THEN 'all_pages_received'
-                   WHEN last_updated <= TIMESTAMP '2000-01-01' - INTERVAL 300 SECOND THEN 'timeout_reached' ELSE 'incomplete' END AS status
-            FROM (SELECT document_id, count(DISTINCT page_number) AS unique_pages, max(nullif(total_pages, 0)) AS expected_pages, max(at) AS last_updated
+                   WHEN last_updated <= TIMESTAMP '1999-12-31 23:55:00' THEN 'timeout_reached' ELSE 'incomplete' END AS status
+            FROM (SELECT document_id, count(DISTINCT page_number) AS unique_pages, max(nullif(total_pages, 0)) AS expected_pages, max(moment) AS last_updated
                   FROM ({GROUP_MESSAGES}) GROUP BY document_id)"""
     ),
 )
@@ -286,7 +286,7 @@ def group_status(spark, d):
     rows = spark_sql(spark, d, GROUP_MESSAGES)
     groups = documents.page_counts(rows).join(
         rows.groupBy("document_id").agg(
-            F.max(F.nullif("total_pages", F.lit(0))).alias("expected_pages"), F.max("at").alias("last_updated")
+            F.max(F.nullif("total_pages", F.lit(0))).alias("expected_pages"), F.max("moment").alias("last_updated")
         ),
         "document_id",
     )
@@ -365,32 +365,32 @@ def carry_context(spark, d):
 
 
 SESSIONS_SQL = """
-    WITH e AS (SELECT user_id, event_id, event_type, date_trunc('second', ts) AS at FROM events),
-    g AS (SELECT *, CASE WHEN at - lag(at) OVER w < INTERVAL {gap} SECOND THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY at, event_id)),
-    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY at, event_id) AS n FROM g)"""
+    WITH e AS (SELECT user_id, event_id, event_type, date_trunc('second', ts) AS moment FROM events),
+    g AS (SELECT *, CASE WHEN epoch(moment) - epoch(lag(moment) OVER w) < {gap} THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY moment, event_id)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY moment, event_id) AS n FROM g)"""
 
 
 def _seconds(spark, d):
-    return bound(spark, d, "events").select("user_id", "event_id", "event_type", F.date_trunc("second", "ts").alias("at"))
+    return bound(spark, d, "events").select("user_id", "event_id", "event_type", F.date_trunc("second", "ts").alias("moment"))
 
 
 @query(
     "session_docs",
     SESSIONS_SQL.replace("{gap}", "14400")
-    + """ SELECT user_id, count(*) AS messages, epoch(min(at))::BIGINT AS first_seen, epoch(max(at))::BIGINT AS last_updated FROM s GROUP BY user_id, n""",
+    + """ SELECT user_id, count(*) AS messages, epoch(min(moment))::BIGINT AS first_seen, epoch(max(moment))::BIGINT AS last_updated FROM s GROUP BY user_id, n""",
 )
 def session_docs(spark, d):
-    out = documents.session_documents(_seconds(spark, d), "user_id", "at", 14400)
+    out = documents.session_documents(_seconds(spark, d), "user_id", "moment", 14400)
     return out.select("user_id", "messages", *[F.unix_timestamp(c).alias(c) for c in ("first_seen", "last_updated")])
 
 
 @query(
     "debounce",
     SESSIONS_SQL.replace("{gap}", "3600")
-    + " SELECT user_id, max_by(event_id, (at, event_id)) AS event_id, count(*) AS burst FROM s GROUP BY user_id, n",
+    + " SELECT user_id, max_by(event_id, (moment, event_id)) AS event_id, count(*) AS burst FROM s GROUP BY user_id, n",
 )
 def debounce(spark, d):
-    return documents.debounce(_seconds(spark, d), "user_id", "at", "event_id", 3600).select("user_id", "event_id", "burst")
+    return documents.debounce(_seconds(spark, d), "user_id", "moment", "event_id", 3600).select("user_id", "event_id", "burst")
 
 
 @query(
