@@ -13,22 +13,28 @@ MISSING = 0.3
 
 
 def present(c: Column) -> Column:
-    return F.coalesce(c.cast("string"), F.lit("")) != ""
+    """A text that is neither null nor empty."""
+    return F.coalesce(c, F.lit("")) != ""
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
+    """Shared over all codes of two code sets (arrays without repeats), 0.0 if one is empty.
 
+    The sets hold a few codes, so a scan of one for each code of the other beats hashing.
+    """
+    shared = F.size(F.filter(a, lambda code: F.array_contains(b, code)))
+    ratio = bind(shared, lambda n: n / (F.size(a) + F.size(b) - n))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), ratio).otherwise(F.lit(0.0))
 
-def mean_present(parts: list[Column], empty: float = 0.0) -> Column:
-    """Mean of the non-null parts."""
 
-    def mean(known: Column) -> Column:
-        total = F.aggregate(known, F.lit(0.0), lambda s, x: s + x)
-        return F.when(F.size(known) > 0, total / F.size(known)).otherwise(F.lit(empty))
+def mean_present(parts: list[tuple[Column, Column]]) -> Column:
+    """Mean of the values whose condition holds, 0.0 when none does.
 
-    return bind(F.array_compact(F.array(*parts)), mean)
+    Plain arithmetic: no part is worked out twice and all of it is compiled.
+    """
+    total = sum((F.when(known, value).otherwise(0.0) for known, value in parts), F.lit(0.0))
+    count = sum((known.cast("int") for known, _ in parts), F.lit(0))
+    return F.when(count > 0, total / count).otherwise(0.0)
 
 
 def date_similarity(a: Column, b: Column) -> Column:
@@ -55,7 +61,7 @@ def location_similarity(a: Column, b: Column) -> Column:
 
 def name_similarity(parts: list[tuple[Column, Column, Column, Column]]) -> Column:
     """Mean Jaccard over (name a, codes a, name b, codes b) with a name on both sides."""
-    return mean_present([F.when(present(na) & present(nb), jaccard(ca, cb)) for na, ca, nb, cb in parts])
+    return mean_present([(present(na) & present(nb), jaccard(ca, cb)) for na, ca, nb, cb in parts])
 
 
 def composite(vector: Column, phonetic: Column, date: Column, location: Column) -> Column:

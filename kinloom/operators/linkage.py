@@ -95,10 +95,14 @@ def both_have(kind: str, a, b) -> dict[str, Column]:
     """Presence of names, dates and places on both sides; a and b map a column name."""
     k = KINDS[kind]
 
-    def on_both(columns):
-        return any_of([present(a(c)) for c in columns]) & any_of([present(b(c)) for c in columns])
+    def on_both(columns, known):
+        return any_of([known(a(c)) for c in columns]) & any_of([known(b(c)) for c in columns])
 
-    return {"names": on_both(k.named_by), "dates": on_both(k.dates), "places": on_both(k.places)}
+    return {
+        "names": on_both(k.named_by, present),
+        "dates": on_both(k.dates, lambda c: c.isNotNull()),
+        "places": on_both(k.places, present),
+    }
 
 
 def name_score(kind: str, a, b) -> Column:
@@ -111,13 +115,13 @@ def name_score(kind: str, a, b) -> Column:
 
 def date_score(kind: str, a, b) -> Column:
     return scores.mean_present(
-        [F.when(a(c).isNotNull() & b(c).isNotNull(), scores.date_similarity(a(c), b(c))) for c in KINDS[kind].dates]
+        [(a(c).isNotNull() & b(c).isNotNull(), scores.date_similarity(a(c), b(c))) for c in KINDS[kind].dates]
     )
 
 
 def place_score(kind: str, a, b) -> Column:
     return scores.mean_present(
-        [F.when(present(a(c)) & present(b(c)), scores.location_similarity(a(c), b(c))) for c in KINDS[kind].places]
+        [(present(a(c)) & present(b(c)), scores.location_similarity(a(c), b(c))) for c in KINDS[kind].places]
     )
 
 
@@ -156,30 +160,44 @@ def composite_score(pairs: DataFrame, kind: str, mode: str = "full") -> DataFram
     return out.withColumn("composite_score", F.when(vetoed, 0.0).otherwise(score))
 
 
+def can_reach(kind: str, threshold: float) -> Column:
+    """Whether sides ``a`` and ``b`` could reach the threshold if their vectors agreed.
+
+    Bound to a lambda on purpose: compiled into the join it would make one method too
+    long for the JVM to optimise, which is many times slower.
+    """
+
+    def judged(sides: Column) -> Column:
+        a, b = (lambda c: sides["a"][c]), (lambda c: sides["b"][c])
+        names, dates, places = _components(kind, a, b, F.lit(False))
+        enough = threshold - 1e-9
+
+        def with_names(score: Column) -> Column:
+            # Most pairs already fail on their names; the other parts wait for the rest.
+            whole = scores.composite(F.lit(1.0), score, dates, places)
+            return F.when(scores.composite(F.lit(1.0), score, F.lit(1.0), F.lit(1.0)) < enough, False).otherwise(whole >= enough)
+
+        return F.when(_vetoed(kind, a, b), False).otherwise(bind(names, with_names))
+
+    return bind(F.struct("a", "b"), judged)
+
+
 def pairs_at_threshold(pairs: DataFrame, kind: str, threshold: float, keys: list[str]) -> DataFrame:
     """The scored pairs that reach a threshold above 0, as (keys, components, composite_score).
 
-    The cheap components are judged first: a pair that would miss the threshold with
-    equal vectors never has its vectors compared. The scores are made inside one
-    generator, so that no pushed-down filter works them out a second time.
+    Only pairs that ``can_reach`` it have their vectors compared. The scores are made
+    inside one generator, so that no pushed-down filter works them out a second time.
     """
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    vetoed = _vetoed(kind, a, b)
-    cheap = F.struct(*_components(kind, a, b, F.lit(False)))
 
-    def whole(m: Column, vector: Column) -> Column:
-        parts = [m[c] for c in COMPONENTS[1:]]
-        score = scores.composite(vector, *parts)
-        named = [p.alias(c) for p, c in zip(parts, COMPONENTS[1:])]
-        return F.struct(vector.alias(COMPONENTS[0]), *named, score.alias("composite_score"))
+    def whole(m: Column) -> Column:
+        score = scores.composite(*[m[c] for c in COMPONENTS])
+        return F.struct(*[m[c].alias(c) for c in COMPONENTS], score.alias("composite_score"))
 
-    def judged(m: Column) -> Column:
-        reachable = scores.composite(F.lit(1.0), *[m[c] for c in COMPONENTS[1:]]) >= threshold - 1e-9
-        return F.when(reachable, bind(cosine(a("embedding"), b("embedding")), lambda v: whole(m, v)))
-
-    scored = F.array(F.when(~vetoed, bind(cheap, judged)))
-    kept = F.filter(scored, lambda m: F.coalesce(m["composite_score"] >= threshold, F.lit(False)))
-    return pairs.select(*keys, F.inline(kept))
+    vector = cosine(a("embedding"), b("embedding")).alias(COMPONENTS[0])
+    parts = F.struct(vector, *_components(kind, a, b, F.lit(False)))
+    kept = F.filter(F.transform(F.array(parts), whole), lambda m: m["composite_score"] >= threshold)
+    return pairs.where(can_reach(kind, threshold)).select(*keys, F.inline(kept))
 
 
 # ---- blocking -------------------------------------------------------------
@@ -260,8 +278,9 @@ def _slice(date: Column, days: int) -> Column:
 
 
 def _around(name: str, date: Column, days: int) -> Column:
+    """This slice and the next: of two near records the earlier one finds the later."""
     s = _slice(date, days)
-    tags = F.array(*[F.concat(F.lit(name), (s + d).cast("string")) for d in (-1, 0, 1)])
+    tags = F.array(*[F.concat(F.lit(name), (s + d).cast("string")) for d in (0, 1)])
     return F.when(date.isNotNull(), tags).otherwise(F.array().cast("array<string>"))
 
 
@@ -329,7 +348,7 @@ def with_block_keys(df: DataFrame, kind: str, threshold: float) -> DataFrame:
 def profiles_of(df: DataFrame, kind: str) -> DataFrame:
     """Records with the key of their profile."""
     packed = F.to_json(F.struct(*scoring_columns(kind)), {"ignoreNullFields": "false"})
-    return df.withColumn("profile", F.sha2(packed, 256))
+    return df.withColumn("profile", F.unhex(F.md5(packed)))
 
 
 def distinct_profiles(records: DataFrame, kind: str) -> DataFrame:
@@ -343,36 +362,32 @@ def profile_pairs(profiles: DataFrame, kind: str, threshold: float) -> DataFrame
     """Unordered pairs of different profiles at or above the threshold, each once,
     and the pair of a profile with itself when it has copies."""
     k = KINDS[kind]
-    columns = scoring_columns(kind)
-    keyed = cut_lineage(with_block_keys(profiles, kind, threshold))
-    body = F.struct(*columns)
-    undated = all_of([F.col(d).isNull() for d in k.dates])
-    left = keyed.select(
-        F.col("profile").alias("p"), body.alias("a"), undated.alias("p_undated"), "left_keys",
-        F.explode("left_keys").alias("key"),
-    )
-    right = keyed.select(
-        F.col("profile").alias("q"), body.alias("b"), undated.alias("q_undated"), "right_keys",
-        F.explode("right_keys").alias("key"),
-    )
+    names = k.name_columns()
+    # Join rows are lean: no vectors, and a name only as a mark that it is there.
+    marks = [F.when(present(F.col(c)), F.lit("y")).alias(c) for c in names]
+    gender = [k.gender] if k.gender else []
+    lean = F.struct(*marks, *map(codes_of, names), *k.dates, *k.places, *gender)
+    keyed = with_block_keys(profiles, kind, threshold).select("profile", lean.alias("body"), "left_keys", "right_keys")
+    keyed = cut_lineage(keyed)
+    left = keyed.select(F.col("profile").alias("p"), F.col("body").alias("a"), F.explode("left_keys").alias("key"))
+    right = keyed.select(F.col("profile").alias("q"), F.col("body").alias("b"), F.explode("right_keys").alias("key"))
     # A block with many profiles is dealt out: the work of a task stays near
-    # BLOCK_ROWS rows against the block, and only pairs at the threshold come out.
-    blocks = keyed.select(F.explode("right_keys").alias("key"))
-    met = skew_join(left, right, ["key"], hot=hot_keys(blocks, ["key"], BLOCK_ROWS))
-    # A pair sharing several keys is kept at the smallest one. Two dated or two undated
-    # sides meet from both directions, an undated and a dated one only from the first.
-    once = (F.col("p") < F.col("q")) | (F.col("p_undated") & ~F.col("q_undated"))
-    met = met.where(once & (F.array_min(F.array_intersect("left_keys", "right_keys")) == F.col("key")))
+    # BLOCK_ROWS rows against the block, and only pairs that can reach the threshold
+    # come out, each once even if it shares several keys.
+    met = skew_join(left, right, ["key"], hot=hot_keys(right, ["key"], BLOCK_ROWS))
+    near = F.lit(True)
     if k.window_days:
         date = k.dates[0]
-        met = met.where(F.abs(F.date_diff(F.col(f"a.{date}"), F.col(f"b.{date}"))) <= k.window_days)
-    own = profiles.where("copies > 1").select(
-        F.col("profile").alias("p"), body.alias("a"), F.col("profile").alias("q"), body.alias("b")
-    )
+        near = F.abs(F.date_diff(F.col(f"a.{date}"), F.col(f"b.{date}"))) <= k.window_days
+    met = met.where((F.col("p") != F.col("q")) & near & can_reach(kind, threshold))
+    met = met.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+    own = profiles.where("copies > 1")
     if k.window_days:
-        own = own.where(F.col(f"a.{k.dates[0]}").isNotNull())
-    both = met.select("p", "a", "q", "b").unionByName(own)
-    return pairs_at_threshold(both, kind, threshold, ["p", "q"])
+        own = own.where(F.col(k.dates[0]).isNotNull())
+    both = met.unionByName(own.select(F.col("profile").alias("p"), F.col("profile").alias("q")))
+    whole = profiles.select("profile", F.struct(*scoring_columns(kind)).alias("body"))
+    full = both.join(whole.toDF("p", "a"), "p").join(whole.toDF("q", "b"), "q")
+    return pairs_at_threshold(full, kind, threshold, ["p", "q"])
 
 
 def _eligible(df: DataFrame, kind: str) -> DataFrame:
