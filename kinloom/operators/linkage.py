@@ -80,7 +80,12 @@ def codes_of(name: str) -> str:
 
 
 def with_codes(df: DataFrame, kind: str) -> DataFrame:
-    """Add the sound codes of the kind's name columns that are not there yet."""
+    """Add what scoring needs and the table lacks: null columns, then sound codes."""
+    k = KINDS[kind]
+    texts = [*k.name_columns(), *k.places, *([k.gender] if k.gender else [])]
+    typed = [(c, "string") for c in texts] + [(c, "date") for c in k.dates]
+    absent = {c: F.lit(None).cast(t) for c, t in typed if c not in df.columns}
+    df = df.withColumns(absent) if absent else df
     missing = [c for c in KINDS[kind].name_columns() if codes_of(c) not in df.columns]
     return df.withColumns({codes_of(c): phonetic_codes(c) for c in missing}) if missing else df
 

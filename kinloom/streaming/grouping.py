@@ -31,6 +31,11 @@ FIELDS = [f.split()[0] for f in EVENTS.split(", ")]
 WAITING, RETRYING, PROCESSED, FAILED = "waiting", "retrying", "processed", "failed"
 
 
+def _frame(events: list[dict]) -> pd.DataFrame:
+    """Event rows as plain objects, None where a field is not set."""
+    return pd.DataFrame([[e.get(f) for f in FIELDS] for e in events], columns=FIELDS, dtype=object)
+
+
 class DocumentGroups(StatefulProcessor):
     """Emits one event row per message and one when a group closes."""
 
@@ -55,7 +60,7 @@ class DocumentGroups(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
             events += self._close_if_full(key[0])
-        yield pd.DataFrame(events, columns=FIELDS)
+        yield _frame(events)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         events = []
@@ -64,7 +69,7 @@ class DocumentGroups(StatefulProcessor):
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
             else:
                 events.append(self._close(key[0], "timeout_reached"))
-        yield pd.DataFrame(events, columns=FIELDS)
+        yield _frame(events)
 
     def close(self) -> None:
         pass
