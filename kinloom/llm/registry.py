@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ["topk", "sharding", "simhash", "chat", "packing"]
+MODULES = ["language", "topk", "toxicity", "sharding", "bpe", "simhash", "chat", "packing"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
