@@ -24,7 +24,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    """All queries and SQL of this folder."""
+    """All queries and SQL of this folder, the pipeline at the repository top included."""
     for name in MODULES:
         import_module(f"kinloom.llm.{name}")
+    pipeline = import_module("corpus_pipeline")
+    QUERIES["pipeline"] = pipeline.run
+    if pipeline.ORACLE_SQL is not None:
+        SQL["pipeline"] = pipeline.ORACLE_SQL.strip()
     return QUERIES, SQL
