@@ -63,7 +63,7 @@ def apply_reviews(
     return after, resolutions, kept
 
 
-def cascade_ids(persons: DataFrame, ids: DataFrame, max_depth: int = 1000) -> DataFrame:
+def cascade_ids(persons: DataFrame, ids: DataFrame) -> DataFrame:
     """The given persons and all their descendants over both parent columns."""
     from .relate import children_of
 
@@ -71,14 +71,13 @@ def cascade_ids(persons: DataFrame, ids: DataFrame, max_depth: int = 1000) -> Da
     hot = cut_lineage(hot_keys(children, ["parent_id"]))
     reached = cut_lineage(ids.select("id").distinct())
     frontier = reached
-    for _ in range(max_depth):
+    while True:
         found = skew_join(children, frontier.withColumnRenamed("id", "parent_id"), ["parent_id"], "left_semi", hot)
         found = found.select(F.col("child_id").alias("id")).distinct()
         frontier = cut_lineage(found.join(reached, "id", "left_anti"))
         if frontier.isEmpty():
             return reached
         reached = reached.unionByName(frontier)
-    raise RuntimeError(f"parent links deeper than {max_depth}")
 
 
 # The columns of each table that name a person.

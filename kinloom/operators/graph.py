@@ -252,7 +252,7 @@ def graph_payload(
     return nodes, out.select("src", "dst", "type", F.replace("type", F.lit("_"), F.lit(" ")).alias("label"))
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """(id, component): the smallest id reachable from each endpoint.
 
     Two star contractions per round point every vertex at the smallest neighbour seen
@@ -265,14 +265,12 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
     last = None
-    for _ in range(max_rounds):
+    while True:
         stars = cut_lineage(_small_star(cut_lineage(_large_star(stars))))
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break
         last = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     root = stars.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("_root"))
     return own.join(root, "id", "left").select("id", F.coalesce("_root", "id").alias("component"))
 
@@ -311,35 +309,39 @@ def unit_edges(units: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.where("parent_unit <> child_unit").select("parent_unit", "child_unit").distinct()
 
 
-def generations(units: DataFrame, unit_edges: DataFrame, max_passes: int | None = None) -> DataFrame:
-    """(unit, level): longest path from a unit without parents.
+def generations(units: DataFrame, unit_edges: DataFrame) -> DataFrame:
+    """(unit, level): longest path from a unit without parents, null for a unit in or behind a cycle.
 
-    Only units whose level rose in a pass push it on. A cycle never settles, so the
-    passes are capped (4 n + 20 by default) and levels stay where the cap leaves them.
+    Units without open parents are peeled off. A pass joins those peeled last with the
+    edges and writes only the units that it reached: how many of their parents have come
+    and the highest level so far. What is never peeled is in or behind a cycle.
     """
-    levels = cut_lineage(units.select("unit").distinct().withColumn("level", F.lit(0)))
-    edges = cut_lineage(unit_edges)
-    hot = cut_lineage(hot_keys(edges, ["parent_unit"]))
-    cap = max_passes if max_passes is not None else 4 * levels.count() + 20
-    risen = levels
-    for _ in range(cap):
-        pushed = (
-            skew_join(edges, risen.select(F.col("unit").alias("parent_unit"), "level"), ["parent_unit"], hot=hot)
-            .groupBy(F.col("child_unit").alias("unit"))
-            .agg((F.max("level") + 1).alias("want"))
+    every = cut_lineage(units.select("unit").distinct())
+    parents = unit_edges.groupBy(F.col("child_unit")).agg(F.count("*").alias("parents"))
+    edges = cut_lineage(unit_edges.join(parents, "child_unit"))
+    hot = hot_keys(edges, ["parent_unit"])
+    peeled = cut_lineage(
+        every.join(edges.select(F.col("child_unit").alias("unit")), "unit", "left_anti").withColumn("level", F.lit(0))
+    )
+    done, waiting = peeled, None
+    while not peeled.isEmpty():
+        reached = skew_join(edges, peeled.withColumnRenamed("unit", "parent_unit"), ["parent_unit"], hot=hot).select(
+            F.col("child_unit").alias("unit"), "parents", F.lit(1).cast("long").alias("come"), (F.col("level") + 1).alias("level")
         )
-        stepped = cut_lineage(
-            levels.join(pushed, "unit", "left").select(
-                "unit",
-                F.greatest("level", F.coalesce("want", F.lit(0))).alias("level"),
-                (F.coalesce("want", F.lit(0)) > F.col("level")).alias("rose"),
-            )
+        if waiting is not None:
+            reached = reached.unionByName(waiting)
+        step = cut_lineage(
+            reached.groupBy("unit").agg(F.max("parents").alias("parents"), F.sum("come").alias("come"), F.max("level").alias("level"))
         )
-        risen = stepped.where("rose").select("unit", "level")
-        levels = stepped.select("unit", "level")
-        if risen.isEmpty():
-            break
-    return levels
+        waiting = step.where("come < parents")
+        peeled = step.where("come = parents").select("unit", "level")
+        done = done.unionByName(peeled)
+    return every.join(done, "unit", "left")
+
+
+def generation_cycles(levels: DataFrame) -> DataFrame:
+    """Units that ``generations`` could not place: in a cycle, or behind one."""
+    return levels.where("level is null").select("unit")
 
 
 def unit_order_keys(units: DataFrame, persons: DataFrame, year: str, label: str) -> DataFrame:

@@ -11,7 +11,6 @@ from .windows import first_per, running_sum, skew_join
 
 LINE = r"^\s*\uFEFF?(\d+)\s+(?:(@[^@]+@)\s+)?(\w+)(?: (.*))?$"
 LINES_PER_CHUNK = 50_000
-NAME_LENGTH, TEXT_LENGTH = 100, 200
 
 
 def record_id(*parts) -> Column:
@@ -164,15 +163,15 @@ def build_persons(individuals: DataFrame) -> DataFrame:
         record_id("source_batch_id", "xref").alias("id"),
         F.col("xref").alias("gedcom_id"),
         "source_batch_id",
-        F.substring(name["first_name"], 1, NAME_LENGTH).alias("first_name"),
-        F.substring(name["last_name"], 1, NAME_LENGTH).alias("last_name"),
+        name["first_name"].alias("first_name"),
+        name["last_name"].alias("last_name"),
         F.lit(None).cast("string").alias("maiden_name"),
         F.when(F.col("sex").isin("M", "F"), F.col("sex")).alias("gender"),
         parse_gedcom_date(F.col("birth.date")).alias("birth_date"),
-        F.substring("birth.place", 1, TEXT_LENGTH).alias("birth_place"),
+        F.col("birth.place").alias("birth_place"),
         parse_gedcom_date(F.col("death.date")).alias("death_date"),
-        F.substring("death.place", 1, TEXT_LENGTH).alias("death_place"),
-        F.substring("occupation", 1, TEXT_LENGTH).alias("occupation"),
+        F.col("death.place").alias("death_place"),
+        "occupation",
         "baptism",
         F.col("death.place").alias("death_parish"),
     )

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import IMAGE_SUFFIXES, suffix
 from ..functions.scores import present
-from .windows import all_of, any_of
-
-MAX_PER_PAGE = 100
+from .windows import all_of, any_of, sort_rank
 
 
 def search(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
@@ -101,18 +99,32 @@ def sort_by(df: DataFrame, by: str, order: str = "asc", default: str | None = No
 
 
 def paginate(df: DataFrame, page: int, per_page: int, order: list[Column], with_totals: bool = True) -> DataFrame:
-    """One page, with total and pages attached.
+    """One page near the start, with total and pages attached.
 
-    Spark turns offset + limit after a sort into a bounded top-n per task, so a page
-    near the start never sorts the table.
+    Spark turns offset + limit after a sort into a bounded top-n per task, so such a
+    page never sorts the table. A page far in is for ``paginate_deep``.
     """
-    page = max(1, page)
-    per_page = max(1, min(per_page, MAX_PER_PAGE))
+    _check_page(page, per_page)
     rows = df.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
-    if not with_totals:
-        return rows
-    totals = df.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / per_page))
-    return rows.join(F.broadcast(totals))  # a single row
+    return _with_totals(rows, df.count(), per_page) if with_totals else rows
+
+
+def paginate_deep(df: DataFrame, page: int, per_page: int, order: list[Column], with_totals: bool = True) -> DataFrame:
+    """Any page: rows are numbered over range partitions, so no task holds what comes before the page."""
+    _check_page(page, per_page)
+    placed = sort_rank(df, order, "_position")
+    rows = placed.where(F.col("_position").between((page - 1) * per_page + 1, page * per_page)).drop("_position")
+    return _with_totals(rows, df.count(), per_page) if with_totals else rows
+
+
+def _check_page(page: int, per_page: int) -> None:
+    if page < 1 or per_page < 1:
+        raise ValueError("page and per_page start at 1")
+
+
+def _with_totals(rows: DataFrame, total: int, per_page: int) -> DataFrame:
+    pages = -(-total // per_page)
+    return rows.withColumns({"total": F.lit(total).cast("long"), "pages": F.lit(pages).cast("long")})
 
 
 # Columns of the flat register lists.

@@ -1,7 +1,7 @@
 """Counts and checks of record texts held as (file_id, text).
 
 Whole-text counts are single expressions and need no shuffle. Reference and line
-checks explode lines and aggregate by id or keep a few rows per file.
+checks explode lines and aggregate by id. Every error is a row.
 """
 
 from __future__ import annotations
@@ -10,10 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from .windows import top_k_per
 
-# Limits and pattern of the checks. (?d): only "\n" ends a line.
-MAX_UNDEFINED, MAX_LINE_ERRORS, SHOWN_CHARS = 10, 20, 50
+# Fixed value: pattern of the line check. (?d): only "\n" ends a line.
 LINE_FORMAT = r"^\d+ (@[^@]+@ )?\w+( .*)?$"
 STEPS = ["structure", "duplicate", "undefined", "format"]
 
@@ -107,7 +105,7 @@ def reference_errors(texts: DataFrame) -> DataFrame:
 
 
 def validate_ids(texts: DataFrame) -> DataFrame:
-    """Error rows; undefined ids beyond the first ten are counted in a closing line."""
+    """Error rows: one for each repeated definition and each undefined id, which has no position."""
     errors = reference_errors(texts)
     repeated = errors.where("kind = 'duplicate'").withColumn(
         "n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))
@@ -116,33 +114,19 @@ def validate_ids(texts: DataFrame) -> DataFrame:
         "duplicate", repeated, F.col("n"), F.concat(F.lit("Duplicate ID definition: @"), "id", F.lit("@"))
     )
     undefined = errors.where("kind = 'undefined'")
-    shown = top_k_per(undefined, ["file_id"], [F.asc("id")], MAX_UNDEFINED)
-    shown = _errors(
-        "undefined", shown, F.col("rank"), F.concat(F.lit("Undefined ID reference: @"), "id", F.lit("@"))
-    )
-    more = undefined.groupBy("file_id").count().where(F.col("count") > MAX_UNDEFINED)
-    left = (F.col("count") - MAX_UNDEFINED).cast("string")
-    closing = F.concat(F.lit("... and "), left, F.lit(" more undefined references"))
-    rest = _errors("undefined", more, F.lit(MAX_UNDEFINED + 1), closing)
-    return duplicate.unionByName(shown).unionByName(rest)
+    message = F.concat(F.lit("Undefined ID reference: @"), "id", F.lit("@"))
+    return duplicate.unionByName(_errors("undefined", undefined, F.lit(None), message))
 
 
 def validate_lines(texts: DataFrame) -> DataFrame:
-    """Error rows of badly formed lines, twenty per text and a closing line."""
+    """Error rows: every badly formed line, whole, at its line number."""
     lines = texts.select("file_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     line = F.regexp_replace("raw", r"\s+$", "")
     bad = lines.select("file_id", (F.col("pos") + 1).alias("line_no"), line.alias("line")).where(
         (F.col("line") != "") & ~F.col("line").rlike(f"(?d){LINE_FORMAT}")
     )
-    shown = top_k_per(bad, ["file_id"], [F.asc("line_no")], MAX_LINE_ERRORS)
-    message = F.concat(
-        F.lit("Line "), F.col("line_no").cast("string"), F.lit(": Invalid format: "), F.substring("line", 1, SHOWN_CHARS)
-    )
-    full = shown.where(F.col("rank") == MAX_LINE_ERRORS)
-    stop = _errors(
-        "format", full, F.lit(MAX_LINE_ERRORS + 1), F.lit("... too many format errors, stopping validation")
-    )
-    return _errors("format", shown, F.col("rank"), message).unionByName(stop)
+    message = F.concat(F.lit("Line "), F.col("line_no").cast("string"), F.lit(": Invalid format: "), "line")
+    return _errors("format", bad, F.col("line_no"), message)
 
 
 def validation_errors(texts: DataFrame, strict: bool = False) -> DataFrame:

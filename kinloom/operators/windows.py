@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1000
-MAX_SALTS = 256
 
 
 def top_k_per(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -122,18 +120,17 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], rank: str =
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows and the salts each one gets.
-
-    At most MAX_HOT_KEYS rows, so it may be broadcast whatever the data size.
-    """
+    """Keys with more than ``hot_rows`` rows and the salts each one gets: all of them, in a
+    written table, so that it is counted once and its size is known to the planner."""
     return hot_counts(df.groupBy(*keys).count(), keys, "count", hot_rows)
 
 
 def hot_counts(counts: DataFrame, keys: list[str], count: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``hot_keys`` of a table that already counts rows per key."""
-    salts = F.least(F.lit(MAX_SALTS), F.ceil(F.col(count) / hot_rows)).cast("int")
-    hot = counts.where(F.col(count) > hot_rows).orderBy(F.desc(count)).limit(MAX_HOT_KEYS)
-    return hot.select(*keys, salts.alias("_salts"))
+    from ..session import cut_lineage
+
+    salts = F.ceil(F.col(count) / hot_rows).cast("int")
+    return cut_lineage(counts.where(F.col(count) > hot_rows).select(*keys, salts.alias("_salts")))
 
 
 def skew_join(
@@ -143,13 +140,12 @@ def skew_join(
 
     ``hot`` comes from ``hot_keys`` of a stored table (or of a written step), so that
     finding hot keys does not redo the work behind ``big``; rows of ``other`` with such
-    a key are copied to each task. Without ``hot`` the split is left to the adaptive
+    a key are copied to each task. The hot keys are broadcast if their written size allows. Without ``hot`` the split is left to the adaptive
     skew join. ``how`` may be inner, left, left_semi or left_anti: every row of ``big``
     meets all its partners once.
     """
     if hot is None:
         return big.join(other, keys, how)
-    hot = F.broadcast(hot)
     deal = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if _hashable(big, c)]), F.col("_salts"))
     left = big.join(hot, keys, "left").withColumn("_salt", F.coalesce(deal, F.lit(0)).cast("int")).drop("_salts")
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)

@@ -218,6 +218,23 @@ def generations(spark, d):
     return graph.generations(units, graph.unit_edges(units, edges))
 
 
+# Suppliers in rings of three by key; the last ring's first one also has a line of its own.
+RING = "SELECT s_suppkey AS unit FROM {supplier}"
+RING_EDGES = """
+    SELECT s_suppkey AS parent_unit, CASE WHEN s_suppkey % 10 = 3 THEN s_suppkey - 2 ELSE s_suppkey + 1 END AS child_unit
+    FROM {supplier} WHERE s_suppkey % 10 <> 0"""
+
+
+@query(
+    "generation_cycles",
+    "SELECT s_suppkey AS unit FROM supplier WHERE s_suppkey % 10 BETWEEN 1 AND 3",
+)
+def generation_cycles(spark, d):
+    """Units 1, 2, 3 of each ten are a ring; 4 to 9 and the next ten's first are a line of their own."""
+    edges = spark_sql(spark, d, RING_EDGES).join(spark_sql(spark, d, RING).withColumnRenamed("unit", "child_unit"), "child_unit", "left_semi")
+    return graph.generation_cycles(graph.generations(spark_sql(spark, d, RING), edges))
+
+
 @query(
     "unit_order_keys",
     with_views(

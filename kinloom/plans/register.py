@@ -125,6 +125,22 @@ def sorted_register(spark, d):
     return search.sort_by(bound(spark, d, "persons"), "first_name", "desc").select("id", "first_name", "last_name")
 
 
+@query(
+    "paginate_deep",
+    with_views(
+        """WITH n AS (SELECT count(*) AS total FROM {persons}), ranked AS (
+             SELECT *, row_number() OVER (ORDER BY last_name NULLS LAST, first_name NULLS LAST, id) AS k FROM {persons})
+           SELECT id, last_name, total, CAST((total + 49) // 50 AS BIGINT) AS pages
+           FROM ranked, n WHERE k BETWEEN 51 AND 100"""
+    ),
+)
+def paginate_deep(spark, d):
+    """A page of 50 rows by ranges of the order."""
+    p = bound(spark, d, "persons")
+    order = [*search.sort_columns(p.columns, "last_name"), F.asc("id")]
+    return search.paginate_deep(p, 2, 50, order).select("id", "last_name", "total", "pages")
+
+
 @query(
     "paginate",
     with_views(
