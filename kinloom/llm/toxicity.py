@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,11 +44,11 @@ def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
             yield found.start(), found.end(), words
 
 
-def choose_features(bags: list[list[set[str]]], y: np.ndarray, most: int, least: int) -> list[str]:
+def choose_features(texts: Iterable[str], y: np.ndarray, most: int, least: int) -> list[str]:
     """Features whose documents are most surely toxic more often than others (chi-squared, positive side)."""
     seen, toxic = Counter(), Counter()
-    for bag, label in zip(bags, y):
-        found = set().union(*bag) if bag else set()
+    for text, label in zip(texts, y):
+        found = {f for w in {w for _, _, words in sentences(text) for w in words} for f in features_of(w)}
         seen.update(found)
         if label:
             toxic.update(found)
@@ -117,13 +117,12 @@ def fit_toxicity(
     share_of = {c: totals[c] / max(1, (y == c).sum()) for c in (0, 1)}
     weight = np.where(y > 0, share_of[1], share_of[0])
     weight = weight / weight.mean()
-    bags = [[{f for w in words for f in features_of(w)} for _, _, words in sentences(t)] for t in given["_text"]]
-    chosen = choose_features(bags, y, features, LEAST_DOCS)
+    chosen = choose_features(given["_text"], y, features, LEAST_DOCS)
     place = {f: i for i, f in enumerate(chosen)}
     at, column, bag_of, plain = [], [], [], np.zeros(len(y))
-    for d, bag in enumerate(bags):
-        for sentence in bag:
-            found = [place[f] for f in sentence if f in place]
+    for d, text_ in enumerate(given["_text"]):
+        for _, _, words in sentences(text_):
+            found = list({place[f] for w in words for f in features_of(w) if f in place})
             if found:
                 at += [len(bag_of)] * len(found)
                 column += found
