@@ -18,32 +18,80 @@ def purge_candidates(candidates: DataFrame, deleted: DataFrame) -> DataFrame:
     return out.select(*candidates.columns)
 
 
+def standing_confirmations(confirms: DataFrame) -> DataFrame:
+    """The confirmations that take effect when made one by one in the order ``at``.
+
+    ``confirms`` has id, record_type, record1_id, record2_id and at. A confirmation
+    deletes its second record, so it falls if an earlier standing one deleted either of
+    its records. A round decides every confirmation whose earlier rivals are decided;
+    only the open ones are written again.
+    """
+    names = ["record_type", "record2_id"]
+    open_ = cut_lineage(confirms)
+    standing = None
+    while not open_.isEmpty():
+        first = open_.groupBy(*names).agg(F.min("at").alias("_open"))
+        gone = None if standing is None else standing.select(*names, F.col("at").alias("_gone"))
+        rows = open_
+        for side in ("record1_id", "record2_id"):
+            rows = rows.join(first.select("record_type", F.col("record2_id").alias(side), F.col("_open").alias(f"_open_{side}")), ["record_type", side], "left")
+            found = F.lit(None)
+            if gone is not None:
+                rows = rows.join(gone.select("record_type", F.col("record2_id").alias(side), F.col("_gone").alias(f"_gone_{side}")), ["record_type", side], "left")
+                found = F.col(f"_gone_{side}")
+            rows = rows.withColumn(f"_lost_{side}", F.coalesce(found < F.col("at"), F.lit(False)))
+        falls = F.col("_lost_record1_id") | F.col("_lost_record2_id")
+        clear = (F.coalesce("_open_record1_id", "at") >= F.col("at")) & (F.col("_open_record2_id") >= F.col("at"))
+        decided = cut_lineage(
+            rows.select(*confirms.columns, F.when(falls, "falls").when(clear, "stands").otherwise("open").alias("_state"))
+        )
+        stands = decided.where("_state = 'stands'").drop("_state")
+        standing = stands if standing is None else standing.unionByName(stands)
+        open_ = decided.where("_state = 'open'").drop("_state")
+    return confirms.limit(0) if standing is None else standing
+
+
 def apply_reviews(
-    candidates: DataFrame, reviews: DataFrame, tables: dict[str, DataFrame]
+    candidates: DataFrame, reviews: DataFrame, tables: dict[str, DataFrame], order: str = "review_no"
 ) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
-    """(candidates, resolutions, tables) after confirm and reject decisions.
+    """(candidates, resolutions, tables) after confirm and reject decisions in the order of their number.
 
-    Only pending pairs are decided. Confirming removes the second record, keeps its
-    snapshot in the resolution and purges other pairs that name it.
+    A confirmation removes the second record, keeps its snapshot in the resolution and
+    purges the other pairs that name it, so that later reviews of those do nothing. A
+    later confirmation overrules a rejection; nothing overrules a confirmation.
     """
-    decided = reviews.select(
-        F.col("candidate_id").alias("id"), F.col("action").alias("_action"), "reviewed_by", "review_notes"
-    )
     base = candidates.drop("reviewed_by", "review_notes")
-    joined = base.join(decided, "id", "left")
-    open_ = F.col("status") == "pending"
-    status = (
-        F.when(open_ & (F.col("_action") == "confirm"), "confirmed")
-        .when(open_ & (F.col("_action") == "reject"), "rejected")
-        .otherwise(F.col("status"))
+    made = reviews.select(
+        F.col("candidate_id").alias("id"), F.col("action").alias("_action"),
+        F.struct(F.col(order).alias("no"), F.col("candidate_id").alias("of"), "reviewed_by", "review_notes").alias("_review"),
+    )
+    by_pair = made.groupBy("id").agg(
+        F.min(F.when(F.col("_action") == "confirm", F.col("_review"))).alias("_confirm"),
+        F.max(F.when(F.col("_action") == "reject", F.col("_review"))).alias("_reject"),
+    )
+    joined = cut_lineage(base.join(by_pair, "id", "left"))
+    undecided = F.col("status") != "confirmed"
+    confirms = joined.where(undecided & F.col("_confirm").isNotNull()).select(
+        "id", "record_type", "record1_id", "record2_id", F.struct("_confirm.no", "_confirm.of").alias("at")
     )
-    joined = joined.withColumn("_confirmed", F.coalesce(open_ & (F.col("_action") == "confirm"), F.lit(False)))
-    joined = cut_lineage(joined.withColumn("status", status))
-    confirmed = joined.where("_confirmed")
-    deleted = confirmed.select("record_type", F.col("record2_id").alias("id")).distinct()
+    standing = cut_lineage(standing_confirmations(confirms))
+    confirmed = joined.join(standing.select("id"), "id", "left_semi")
+    deleted = standing.select("record_type", F.col("record2_id").alias("id")).distinct()
+
+    def reviewed(rows: DataFrame, status, review) -> DataFrame:
+        return rows.withColumns(
+            {"status": status, "reviewed_by": review["reviewed_by"], "review_notes": review["review_notes"]}
+        ).drop("_confirm", "_reject")
+
+    rejected = undecided & F.col("_reject").isNotNull()
+    others = purge_candidates(joined.join(standing.select("id"), "id", "left_anti"), deleted)
+    others = reviewed(others, F.when(rejected, "rejected").otherwise(F.col("status")), F.when(rejected, F.col("_reject")))
+    # A confirmed pair survives its own deletion, but not a later one of the record it kept.
+    lost = deleted.select("record_type", F.col("id").alias("record1_id"))
+    whole = confirmed.where("record1_id <> record2_id").join(lost, ["record_type", "record1_id"], "left_anti")
+    whole = whole.unionByName(confirmed.where("record1_id = record2_id"))
+    after = others.unionByName(reviewed(whole, F.lit("confirmed"), F.col("_confirm")))
 
-    # A confirmed pair survives the purge that its own deletion causes.
-    others = purge_candidates(joined.where("not _confirmed"), deleted)
     resolutions, kept = None, {}
     for kind, table in tables.items():
         gone = deleted.where(F.col("record_type") == kind).select("id")
@@ -54,12 +102,11 @@ def apply_reviews(
             F.lit("merge").alias("action"),
             F.col("record1_id").alias("kept_record_id"),
             F.col("record2_id").alias("merged_record_id"),
-            F.col("reviewed_by").alias("resolved_by"),
-            F.col("review_notes").alias("resolution_notes"),
+            F.col("_confirm.reviewed_by").alias("resolved_by"),
+            F.col("_confirm.review_notes").alias("resolution_notes"),
             "merged_data",
         )
         resolutions = part if resolutions is None else resolutions.unionByName(part)
-    after = others.unionByName(confirmed).drop("_action", "_confirmed")
     return after, resolutions, kept
 
 

@@ -288,20 +288,36 @@ def success_rate(spark, d):
 
 # ---- changes --------------------------------------------------------------
 
+# Pairs are reviewed against the order of their keys; some twice, a rejection before or after a confirmation.
 REVIEWS = """
-    SELECT o_orderkey AS candidate_id, CASE WHEN o_custkey % 2 = 0 THEN 'confirm' ELSE 'reject' END AS action,
-           concat('clerk ', o_custkey % 3) AS reviewed_by, CAST(NULL AS STRING) AS review_notes
-    FROM {orders} WHERE o_orderpriority = '2-HIGH'"""
+    SELECT o_orderkey AS candidate_id, CASE WHEN (o_custkey + k) % 2 = 0 THEN 'confirm' ELSE 'reject' END AS action,
+           1000000000 - o_orderkey * 2 + k * (o_custkey % 7) AS review_no,
+           concat('clerk ', o_custkey % 3, '.', k) AS reviewed_by, CAST(NULL AS STRING) AS review_notes
+    FROM {orders}, (SELECT 0 AS k UNION ALL SELECT 1) AS n
+    WHERE o_orderpriority IN ('2-HIGH', '5-LOW', '1-URGENT') AND (k = 0 OR o_orderkey % 3 = 0)"""
+# The pairs once with their ends exchanged: mutual pairs, and chains through both ends.
+MIXED = """
+    SELECT id, record_type, CASE WHEN id % 5 = 0 THEN record2_id ELSE record1_id END AS record1_id,
+           CASE WHEN id % 5 = 0 THEN record1_id ELSE record2_id END AS record2_id, status, composite_score FROM {candidates}
+    UNION ALL SELECT id + 4000000000, record_type, record2_id, record1_id, status, composite_score FROM {candidates} WHERE id % 4 = 0"""
+ALL_REVIEWS = f"SELECT * FROM ({REVIEWS}) UNION ALL SELECT candidate_id + 4000000000, 'confirm', review_no + 3, reviewed_by, review_notes FROM ({REVIEWS}) WHERE candidate_id % 4 = 0"
 _REVIEWED = """
-    WITH reviews AS ({reviews}),
-    marked AS (SELECT c.*, r.action, r.reviewed_by, c.status = 'pending' AND r.action IS NOT DISTINCT FROM 'confirm' AS confirmed
-               FROM {candidates} c LEFT JOIN reviews r ON r.candidate_id = c.id),
-    gone AS (SELECT DISTINCT record_type, record2_id AS id FROM marked WHERE confirmed)"""
-REVIEWED_SQL = _REVIEWED.replace("{reviews}", REVIEWS)
+    WITH RECURSIVE cand AS ({mixed}), reviews AS ({reviews}),
+    first AS (SELECT candidate_id, min_by(reviewed_by, review_no) AS who, min(review_no) AS no FROM reviews WHERE action = 'confirm' GROUP BY 1),
+    turned AS (SELECT candidate_id, max_by(reviewed_by, review_no) AS who FROM reviews WHERE action = 'reject' GROUP BY 1),
+    conf AS (SELECT c.id, c.record1_id AS a, c.record2_id AS b, who, row_number() OVER (ORDER BY no, c.id) AS k
+             FROM cand c JOIN first f ON f.candidate_id = c.id WHERE status <> 'confirmed'),
+    walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone, NULL::BIGINT AS id
+             UNION ALL SELECT c.k, CASE WHEN list_contains(w.gone, c.a) OR list_contains(w.gone, c.b) THEN w.gone ELSE list_append(w.gone, c.b) END,
+                              CASE WHEN list_contains(w.gone, c.a) OR list_contains(w.gone, c.b) THEN NULL ELSE c.id END
+             FROM walk w JOIN conf c ON c.k = w.k + 1),
+    stood AS (SELECT w.id, c.record_type, c.record1_id, c.record2_id, f.who FROM walk w JOIN cand c ON c.id = w.id JOIN first f ON f.candidate_id = w.id),
+    gone AS (SELECT record_type, record2_id AS id FROM stood)"""
+REVIEWED_SQL = _REVIEWED.replace("{reviews}", ALL_REVIEWS).replace("{mixed}", MIXED)
 
 
 def _reviewed(spark, d):
-    return changes.apply_reviews(bound(spark, d, "candidates"), spark_sql(spark, d, REVIEWS), _records(spark, d))
+    return changes.apply_reviews(spark_sql(spark, d, MIXED), spark_sql(spark, d, ALL_REVIEWS), _records(spark, d))
 
 
 @query(
@@ -309,8 +325,11 @@ def _reviewed(spark, d):
     with_views(
         REVIEWED_SQL
         + """
-    SELECT id, record_type, reviewed_by, CASE WHEN confirmed THEN 'confirmed' WHEN status = 'pending' AND action = 'reject' THEN 'rejected' ELSE status END AS status
-    FROM marked m WHERE confirmed OR NOT EXISTS (SELECT 1 FROM gone g WHERE g.record_type = m.record_type AND g.id IN (m.record1_id, m.record2_id))"""
+    SELECT c.id, c.record_type, CASE WHEN s.id IS NOT NULL THEN s.who WHEN c.status <> 'confirmed' THEN t.who END AS reviewed_by,
+           CASE WHEN s.id IS NOT NULL THEN 'confirmed' WHEN c.status <> 'confirmed' AND t.candidate_id IS NOT NULL THEN 'rejected' ELSE c.status END AS status
+    FROM cand c LEFT JOIN stood s ON s.id = c.id LEFT JOIN turned t ON t.candidate_id = c.id
+    WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.record_type = c.record_type AND (g.id = c.record1_id OR g.id = c.record2_id)
+                      AND NOT (s.id IS NOT NULL AND g.id = c.record2_id))"""
     ),
 )
 def apply_reviews(spark, d):
@@ -322,8 +341,8 @@ def apply_reviews(spark, d):
     with_views(
         REVIEWED_SQL
         + f""", r AS ({ALL_RECORDS_SQL})
-    SELECT m.id AS candidate_id, 'merge' AS action, record1_id AS kept_record_id, record2_id AS merged_record_id, reviewed_by AS resolved_by, r.shown
-    FROM marked m JOIN r ON r.kind = m.record_type AND r.id = m.record2_id WHERE confirmed"""
+    SELECT m.id AS candidate_id, 'merge' AS action, record1_id AS kept_record_id, record2_id AS merged_record_id, who AS resolved_by, r.shown
+    FROM stood m JOIN r ON r.kind = m.record_type AND r.id = m.record2_id"""
     ),
 )
 def review_resolutions(spark, d):
