@@ -95,7 +95,7 @@ def tag_metadata(tags: Column) -> Column:
 
 
 def page_of_total(c: Column) -> Column:
-    """``573-582.jpg (77 z 86)`` to (77, 86); a bare integer is a page."""
+    """``12-20.jpg (9 z 41)`` to (77, 86); a bare integer is a page."""
     pattern = r"\((\d+)\s+z\s+(\d+)\)"
     page = F.coalesce(
         blank_to_null(F.regexp_extract(c, pattern, 1)), blank_to_null(F.regexp_extract(strip(c), r"^(\d+)$", 1))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+HEAD_BYTES = 1000  # of a record file, in which its charset is named
+
 # Typographic characters and their ASCII forms.
 TYPOGRAPHIC_FROM = "“”‘’–—"
 TYPOGRAPHIC_TO = "\"\"''--"
@@ -125,8 +127,8 @@ def gender_rank(c: Column) -> Column:
 
 
 def detect_charset(head: Column) -> Column:
-    """Charset named in the first 1000 bytes of a record file (a binary column)."""
-    head = F.substring(head, 1, 1000)
+    """Charset named in the first HEAD_BYTES of a record file (a binary column)."""
+    head = F.substring(head, 1, HEAD_BYTES)
     latin = F.decode(head, "ISO-8859-1")
     utf8 = F.is_valid_utf8(head.cast("string")) & (
         F.contains(latin, F.lit("1 CHAR UTF-8")) | F.contains(latin, F.lit("1 CHAR UTF8"))

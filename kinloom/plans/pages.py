@@ -119,7 +119,7 @@ def route_results(spark, d):
 
 # ---- catalogue pages ------------------------------------------------------
 
-PAGE_PATTERNS = {"title": r"(?s)<title>(.*?)</title>", "lang": r'<html lang="(\w+)"', "place": r"Miejscowość:\s*\n\s*([^\n]+)"}
+PAGE_PATTERNS = {"title": r"(?s)<title>(.*?)</title>", "lang": r'<html lang="(\w+)"', "place": catalogue.SIDEBAR_PATTERNS["place"]}
 
 
 @query(

@@ -411,7 +411,7 @@ def record_vectors(spark, d):
 KEYS = """
     SELECT l_orderkey AS id, l_linenumber AS n, l_suppkey AS s, l_partkey AS p,
            CASE l_partkey % 8
-             WHEN 0 THEN concat('s3://scans/krakowski/', l_suppkey, '/', l_orderkey, '/00', l_linenumber, '.jpg')
+             WHEN 0 THEN concat('s3://scans/lubelski/', l_suppkey, '/', l_orderkey, '/00', l_linenumber, '.jpg')
              WHEN 1 THEN concat('s3://scans/', l_orderkey, '/page-', l_linenumber, '.jpg')
              WHEN 2 THEN concat('s3://scans/documents/book-', l_orderkey, '/', l_linenumber, '.jpg')
              WHEN 3 THEN concat('s3://scans/area/vol', l_suppkey, '/', l_orderkey, '/Page_', l_linenumber, '.tif')
@@ -471,7 +471,7 @@ def source_uri(spark, d):
     "output_key",
     with_views(
         f"""
-    SELECT uri, concat('records/', CASE p % 8 WHEN 0 THEN concat('krakowski/', s, '/', id, '/') WHEN 1 THEN concat(id, '/')
+    SELECT uri, concat('records/', CASE p % 8 WHEN 0 THEN concat('lubelski/', s, '/', id, '/') WHEN 1 THEN concat(id, '/')
               WHEN 2 THEN concat('documents/book-', id, '/') WHEN 3 THEN concat('area/vol', s, '/', id, '/') WHEN 4 THEN concat('vol', id, '/')
               WHEN 6 THEN concat('x/books/', s, '/deep/') ELSE '' END, id, '.ged') AS key
     FROM ({KEYS})"""

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import detect_charset, fold_typographic
+from ..functions.text import HEAD_BYTES, detect_charset, fold_typographic
 from ..operators.records import split_line
 from ..operators.windows import running_number, skew_join, top_k_per
 
 RECORD_FILES = "*.{ged,gedcom,GED,GEDCOM,Ged,Gedcom}"
-HEAD_BYTES = 1000
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:

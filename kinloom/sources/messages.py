@@ -27,7 +27,7 @@ RECORD = (
     " gedcom_data struct<content: string, filename: string, s3_uri: string, validation_status: string,"
     " individual_count: int, family_count: int, baptism_count: int, death_count: int, marriage_count: int,"
     " total_events: int>, source_ocr_uris array<string>,"
-    " metadata struct<processing_time_ms: long, openrouter_model: string>"
+    " metadata struct<processing_time_ms: long>"
 )
 SCHEMAS = {"image": IMAGE, "page": PAGE, "record": RECORD}
 

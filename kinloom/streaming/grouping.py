@@ -18,7 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators.documents import CONTEXT_CHARS, MAX_RETRIES
 
 TIMEOUT_SECONDS = 300
-DONE_DAYS = 7
+DONE_DAYS = 7  # how long a closed document stays closed, unless the caller says otherwise
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 # kind: page (a new page), processed or failed (the outcome of an earlier one).
@@ -39,7 +39,8 @@ def _frame(events: list[dict]) -> pd.DataFrame:
 class DocumentGroups(StatefulProcessor):
     """Emits one event row per message and one when a group closes."""
 
-    def __init__(self, timeout_seconds: int = TIMEOUT_SECONDS, max_retries: int = MAX_RETRIES, max_chars: int = CONTEXT_CHARS):
+    def __init__(self, timeout_seconds: int = TIMEOUT_SECONDS, max_retries: int = MAX_RETRIES, max_chars: int = CONTEXT_CHARS, done_days: int = DONE_DAYS):
+        self.done_ms = done_days * 24 * 3600 * 1000
         self.timeout_ms = timeout_seconds * 1000
         self.max_retries = max_retries
         self.max_chars = max_chars
@@ -49,7 +50,7 @@ class DocumentGroups(StatefulProcessor):
         self.group = handle.getValueState("group", "messages long, expected int, distinct_pages long, pending long")
         self.pages = handle.getMapState("pages", "page int", "state string, retries int")
         self.tail = handle.getValueState("tail", "text string")
-        self.done = handle.getValueState("done", "flag boolean", DONE_DAYS * 24 * 3600 * 1000)
+        self.done = handle.getValueState("done", "flag boolean", self.done_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # One micro-batch of one document; its size is capped by the source's trigger limit.
