@@ -40,16 +40,15 @@ def share(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
 
 
-_KEPT: dict[object, object] = {}
+_KEPT: dict[str, tuple[object, object]] = {}
 
 
-def kept(key: object, make):
-    """A value made once per Python worker; only the newest few are held."""
-    if key not in _KEPT:
-        while len(_KEPT) >= 4:
-            _KEPT.pop(next(iter(_KEPT)))
-        _KEPT[key] = make()
-    return _KEPT[key]
+def kept(kind: str, key: object, make):
+    """A value made once per Python worker and key; of each kind only the last one is held."""
+    if kind not in _KEPT or _KEPT[kind][0] != key:
+        _KEPT.pop(kind, None)
+        _KEPT[kind] = (key, make())
+    return _KEPT[kind][1]
 
 
 def tokenizer(json_text: str):
@@ -63,7 +62,7 @@ def tokenizer(json_text: str):
         made.no_padding()
         return made
 
-    return kept(("tokenizer", hash(json_text)), make)
+    return kept("tokenizer", hash(json_text), make)
 
 
 def read_text(path: str) -> str:

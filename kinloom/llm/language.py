@@ -47,7 +47,7 @@ def _letters() -> np.ndarray:
     def make():
         return np.array([chr(c).isalpha() for c in range(0x110000)])
 
-    return kept("letters", make)
+    return kept("letters", None, make)
 
 
 def ngram_bins(text: str) -> np.ndarray:
