@@ -16,6 +16,8 @@ from ..operators.windows import sort_rank
 from .common import SPACE, cut_lineage, table, text_or_empty
 from .registry import query
 
+WHITE = " \t\n\x0b\f\r"
+WORD = "[^\\x20\\x09-\\x0D]"
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
 LOW_BITS = 8
@@ -37,26 +39,29 @@ def _borrow_orders() -> tuple[list[int], list[int]]:
     return starts, inverses
 
 
-def with_slots(df: DataFrame, text: str, slots: str, words: int = WORDS) -> DataFrame:
-    """Add ``slots``: BINS signed bytes, the low bits of the smallest hash of every bin.
+def word_hashes(text: Column) -> Column:
+    """Hashes of the words in order: runs of anything but ASCII white space, in lower case."""
+    plain = F.btrim(F.lower(text), F.lit(WHITE))
+    words = F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, SPACE))
+    return F.transform(words, lambda w: F.xxhash64(w))
 
-    Words are runs of anything but ASCII white space, in lower case; a text of fewer
-    than ``words`` words is one shingle. A text without words has all slots 0.
-    """
+
+def shingle_hashes(words: str, width: int = WORDS) -> Column:
+    """Hashes of the shingles of an array of word hashes; fewer words than ``width`` are one shingle."""
+    n = F.size(words)
+    runs = F.arrays_zip(*[F.slice(words, 1 + k, n - (width - 1)).alias(f"w{k}") for k in range(width)])
+    return (
+        F.when(n == 0, F.array().cast("array<bigint>"))
+        .when(n < width, F.array(F.xxhash64(words)))
+        .otherwise(F.transform(runs, lambda run: F.xxhash64(run)))
+    )
+
+
+def with_slots(df: DataFrame, shingles: str, slots: str) -> DataFrame:
+    """Add ``slots``: BINS signed bytes, the low bits of the smallest hash of every bin; all -128 without shingles."""
     low = (1 << LOW_BITS) - 1
     starts, inverses = (F.array(*[F.lit(v) for v in values]) for values in _borrow_orders())
     kept = df.columns
-    n = F.size("__words")
-    shingles = (
-        F.when(n == 0, F.array().cast("array<bigint>"))
-        .when(n < words, F.array(F.xxhash64("__words")))
-        .otherwise(
-            F.transform(
-                F.sequence(F.lit(0), n - words),
-                lambda i: F.xxhash64(*[F.get(F.col("__words"), i + k) for k in range(words)]),
-            )
-        )
-    )
 
     def of_bin(x: Column) -> Column:
         return F.shiftright(x, 64 - BIN_BITS) + BINS // 2  # keeps the order of signed hashes
@@ -68,21 +73,19 @@ def with_slots(df: DataFrame, text: str, slots: str, words: int = WORDS) -> Data
 
         return F.array_min(F.transform("__least", place)).bitwiseAND(low)
 
-    split = F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
+    def opens_bin(x: Column, i: Column) -> Column:
+        return (i == 0) | (F.shiftright(x.bitwiseXOR(F.get(F.col("__sorted"), i - 1)), 64 - BIN_BITS) != 0)
+
     filled = F.transform("__least", lambda x: F.struct(of_bin(x).cast("int").alias("bin"), x.bitwiseAND(low).alias("low")))
     empty = F.transform("__empty", lambda j: F.struct(j.alias("bin"), borrowed(j).alias("low")))
     all_bins = F.sequence(F.lit(0), F.lit(BINS - 1))
     return (
-        df.withColumn("__words", F.transform(split, lambda w: F.xxhash64(w)))
-        .withColumn("__sorted", F.sort_array(shingles))
-        .withColumn(
-            "__least",
-            F.filter("__sorted", lambda x, i: (i == 0) | (of_bin(x) != of_bin(F.get(F.col("__sorted"), i - 1)))),
-        )
+        df.withColumn("__sorted", F.sort_array(shingles))
+        .withColumn("__least", F.filter("__sorted", opens_bin))
         .withColumn("__empty", F.array_except(all_bins, F.transform("__least", lambda x: of_bin(x).cast("int"))))
         .withColumn(
             slots,
-            F.when(F.size("__least") == 0, F.array_repeat(F.lit(0).cast("tinyint"), BINS)).otherwise(
+            F.when(F.size("__least") == 0, F.array_repeat(F.lit(-128).cast("tinyint"), BINS)).otherwise(
                 F.transform(F.sort_array(F.concat(filled, empty)), lambda s: (s["low"] - 128).cast("tinyint"))
             ),
         )
@@ -90,6 +93,46 @@ def with_slots(df: DataFrame, text: str, slots: str, words: int = WORDS) -> Data
     )
 
 
+def with_fingerprint(df: DataFrame, text: str, slots: str) -> DataFrame:
+    """Add the ``slots`` of a text column; null texts count as empty, whose slots are all -128."""
+    marked = df.withColumn("__words", word_hashes(text_or_empty(text))).withColumn("__shingles", shingle_hashes("__words"))
+    return with_slots(marked, "__shingles", slots).drop("__words", "__shingles")
+
+
+def with_edited_fingerprints(df: DataFrame, text: str, kept: str, begin: str, slots: str, edited_slots: str) -> DataFrame:
+    """Add the slots of ``text`` and of the text that is ``kept``, a beginning of it, followed by ``begin``.
+
+    The words that end inside ``kept``, and the shingles of those alone, are the text's
+    own; only what follows them is hashed again.
+    """
+    given = df.columns
+    whole = F.regexp_count(kept, F.lit(SPACE)) - F.rlike(kept, F.lit(f"^{SPACE}")).cast("int")  # words that end in it
+    cut = F.regexp_extract(kept, rf"(?<!{WORD}){WORD}*+\z", 0)  # the beginning of the word that doesn't
+    own = F.greatest(F.lit(0), F.col("__whole") - (WORDS - 1))  # shingles of the former
+    after = F.size("__rest")
+    return (
+        with_slots(
+            with_slots(
+                df.withColumn("__words", word_hashes(F.col(text)))
+                .withColumn("__shingles", shingle_hashes("__words"))
+                .withColumn("__whole", whole)
+                .withColumn("__tail", word_hashes(F.concat(cut, begin)))
+                .withColumn("__own", own)
+                .withColumn("__rest", F.concat(F.slice("__words", F.col("__own") + 1, F.col("__whole") - F.col("__own")), "__tail"))
+                .withColumn(
+                    "__edited",
+                    F.when((F.col("__own") > 0) & (after < WORDS), F.slice("__shingles", 1, F.col("__own")))
+                    .when(F.col("__own") > 0, F.concat(F.slice("__shingles", 1, F.col("__own")), shingle_hashes("__rest")))
+                    .otherwise(shingle_hashes("__rest")),
+                ),
+                "__shingles", slots,
+            ),
+            "__edited", edited_slots,
+        )
+        .select(*given, slots, edited_slots)
+    )
+
+
 def packed(slots: str) -> Column:
     """Slots as a string of hexadecimal digits, two for each bin."""
     return F.array_join(F.transform(slots, lambda v: F.lower(F.lpad(F.hex(v.cast("int") + 128), 2, "0"))), "")
@@ -150,12 +193,12 @@ def fingerprint_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "te
     )
     joined = texts.join(places.select("key", "id", "h", "n_chars", "copies", "next_id", "next_h"), ["id", "h"]).join(begun, ["id", "h"])
     kept = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
-    edited = joined.withColumn("edited", F.concat(F.substring("text", F.lit(1), kept), F.col("begin"))).drop("begin")
-    marked = with_slots(with_slots(edited, "text", "slots"), "edited", "edited_slots")
+    cut = joined.withColumn("kept", F.substring("text", F.lit(1), kept))
+    marked = with_edited_fingerprints(cut, "text", "kept", "begin", "slots", "edited_slots")
     made = cut_lineage(
         marked.select(
             "key", "id", "h", "n_chars", "copies", "next_id", "next_h",
-            F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "slots", "edited_slots",
+            F.sha2(F.concat("kept", "begin").cast("binary"), 256).alias("edited_sha256"), "slots", "edited_slots",
         )
     )
     following = made.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("slots").alias("next_slots"))
