@@ -3,31 +3,31 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import cut_lineage
+from .pieces import LONGEST
 
-LONGEST = 64  # bytes of a frequent word
 TRACKED = 300_000  # words that a task counts at a time
 
 
-def lossy_counts(texts: Iterator[bytes], least: int, tracked: int = TRACKED) -> Counter:
+def lossy_counts(texts: Iterable[list[bytes]], least: int, tracked: int = TRACKED) -> Counter:
     """Counts of the words of many texts; whenever too many are tracked, the rare ones are forgotten."""
     counts: Counter = Counter()
-    for text in texts:
-        counts.update(text.split())
+    for words in texts:
+        counts.update(words)
         while len(counts) > tracked:
             floor = min(counts.values())
             counts = Counter({w: n for w, n in counts.items() if n > floor})
     return Counter({w: n for w, n in counts.items() if n >= least and len(w) <= LONGEST})
 
 
-def frequent_words(data: DataFrame, column: str, most: int, least: int = 3) -> DataFrame:
+def frequent_words(data: DataFrame, column: str, words_of: Callable[[bytes], list[bytes]], most: int, least: int = 3) -> DataFrame:
     """(word, n): at most ``most`` words of at most 64 bytes that occur often.
 
     All texts are read. Each task keeps a bounded summary, so the counts are lower
@@ -35,12 +35,13 @@ def frequent_words(data: DataFrame, column: str, most: int, least: int = 3) -> D
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = lossy_counts((t for b in batches for t in b[column]), least)
+        found = lossy_counts((words_of(t) for b in batches for t in b[column]), least)
         words, counts = list(found), list(found.values())
         for at in range(0, len(words), 50_000):
             yield pd.DataFrame({"word": words[at : at + 50_000], "n": counts[at : at + 50_000]})
 
     counted = data.select(column).mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = cut_lineage(counted)  # counted once for the histogram and the words
     return at_most(counted, F.col("n"), most)
 
 
@@ -66,6 +67,3 @@ class Ranks:
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.array([-1 if i is None else i for i in map(self.place.get, words)], dtype=np.int32)
 
-
-def ranks(key: object, words: bytes) -> Ranks:
-    return kept(("ranks", key), lambda: Ranks(words))
