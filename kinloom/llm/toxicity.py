@@ -3,13 +3,16 @@
 Only documents are labelled. Each sentence gets a probability from its words and word
 beginnings, and a document's is their noisy-or: it is toxic unless no sentence is. The
 weights are trained through the noisy-or, so the sentences that carry the label stand out.
+A sentence's amount, -log(1 - p), is what its features add to that of a sentence without
+any, which has none; so a text doesn't get more toxic by its length.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from math import exp, expm1, log1p
 
 import numpy as np
 import pandas as pd
@@ -17,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.windows import top_k_per
-from .common import fold, share, table, text_or_empty
+from .common import cut_lineage, fold, share, table, text_or_empty
 from .registry import query
 
 PER_CLASS = 3000  # labelled documents of each class that are learned from
-MAX_CHARS = 20_000  # length of a document that is learned from
 FEATURES = 1024
 LEAST_DOCS = 3  # documents that a feature must be in
+BIAS = -4.0  # logit of a sentence without a feature, the zero of amounts; the lower, the less weak features add up
 STEMS = (4, 5, 6)  # lengths of word beginnings
 WORDS = 300_000  # words whose features a worker keeps
 
@@ -44,93 +47,135 @@ def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
             yield found.start(), found.end(), words
 
 
-def choose_features(texts: Iterable[str], y: np.ndarray, most: int, least: int) -> list[str]:
-    """Features whose documents are most surely toxic more often than others (chi-squared, positive side)."""
-    seen, toxic = Counter(), Counter()
-    for text, label in zip(texts, y):
-        found = {f for w in {w for _, _, words in sentences(text) for w in words} for f in features_of(w)}
-        seen.update(found)
-        if label:
-            toxic.update(found)
-    n, p = len(y), y.sum()
-    scored = []
-    for feature, k in toxic.items():
-        total = seen[feature]
-        expected = total * p / n
-        if total >= least and k > expected:
-            spread = expected * (1 - p / n) * (1 - total / n)
-            if spread > 0 and (value := (k - expected) ** 2 / spread) > 10:
-                scored.append((-value, feature))
-    return [f for _, f in sorted(scored)[:most]]
+def choose_features(rows: DataFrame, most: int, least: int) -> list[str]:
+    """Features whose documents are most surely toxic more often than others (chi-squared, positive side).
+
+    ``rows`` has _text and _label. A task counts a bounded number of features before it passes its counts on.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, toxic = Counter(), Counter()
+
+        def passed() -> pd.DataFrame:
+            out = pd.DataFrame({"feature": list(seen), "total": list(seen.values()), "k": [toxic[f] for f in seen]})
+            seen.clear()
+            toxic.clear()
+            return out.astype({"feature": object, "total": "int64", "k": "int64"})
+
+        for batch in batches:
+            for text, label in zip(batch["_text"], batch["_label"]):
+                found = {f for w in {w for _, _, words in sentences(text) for w in words} for f in features_of(w)}
+                seen.update(found)
+                if label:
+                    toxic.update(found)
+                if len(seen) > WORDS:
+                    yield passed()
+        yield passed()
+
+    n, p = rows.agg(F.count("*"), F.sum(F.col("_label").cast("double"))).first()
+    counts = rows.select("_text", "_label").mapInPandas(run, "feature string, total long, k long")
+    counts = counts.groupBy("feature").agg(F.sum("total").alias("total"), F.sum("k").alias("k"))
+    expected = F.col("total") * p / n
+    spread = expected * (1 - p / n) * (1 - F.col("total") / n)
+    surer = counts.where((F.col("total") >= least) & (F.col("k") > expected) & (spread > 0))
+    valued = surer.withColumn("value", (F.col("k") - expected) ** 2 / spread).where("value > 10")
+    return [r["feature"] for r in valued.orderBy(F.desc("value"), "feature").limit(most).collect()]
+
+
+def feature_sentences(rows: DataFrame, chosen: list[str]) -> DataFrame:
+    """(_id, _label, found, times) of every row: the sets of chosen features its sentences have, and in how many each is."""
+    shared = share(rows.sparkSession, {f: i for i, f in enumerate(chosen)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = shared.value
+        for batch in batches:
+            sets, times = [], []
+            for text in batch["_text"]:
+                counts: Counter = Counter()
+                for _, _, words in sentences(text):
+                    if found := {place[f] for w in words for f in features_of(w) if f in place}:
+                        counts[tuple(sorted(found))] += 1
+                sets.append([list(c) for c in sorted(counts)])
+                times.append([counts[c] for c in sorted(counts)])
+            yield batch[["_id", "_label"]].assign(found=sets, times=times)
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("_id", "_label"))
+    return rows.mapInPandas(run, f"{kinds}, found array<array<int>>, times array<long>")
 
 
 def train_noisy_or(
-    rows: np.ndarray, columns: np.ndarray, bag_of: np.ndarray, plain: np.ndarray, y: np.ndarray, weight: np.ndarray, size: int,
+    rows: np.ndarray, columns: np.ndarray, bag_of: np.ndarray, times: np.ndarray, y: np.ndarray, weight: np.ndarray, size: int,
     rounds: int = 400, rate: float = 0.1, strength: float = 1e-3,
-) -> tuple[np.ndarray, float]:
-    """Weights and bias of the sentence model.
+) -> np.ndarray:
+    """Weights of the sentence model.
 
     rows, columns: features of the sentences that have any; bag_of: their documents;
-    plain: sentences of each document without a feature. With z a sentence's logit,
-    log(1 - P) of a document is -sum softplus(z), and the gradient of its loss in z is
-    p for label 0 and -p (1 - P) / P for label 1.
+    times: how often such a sentence is there. With z a sentence's logit, its amount is
+    softplus(z) - softplus(BIAS) and at least 0. log(1 - P) of a document is less the
+    sum of the amounts and less a leak that every document has once; the leak takes up
+    labels without a feature and isn't part of a score. The gradient of the loss in z is
+    p for label 0 and -p (1 - P) / P for label 1; an amount below 0 is pulled up only.
     """
-    w, b = np.zeros(size), -4.0
+    w, leak = np.zeros(size), -2.0
     moment, square = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(rows, w[columns], len(bag_of)) + b
-        p, p0 = 1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 / (1 + np.exp(-b))
-        clean = np.bincount(bag_of, np.logaddexp(0, z), len(y)) + plain * np.logaddexp(0, b)
-        none = np.exp(-clean)
+        u = np.bincount(rows, w[columns], len(bag_of))
+        z = u + BIAS
+        p, p_leak = (1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (z, leak))
+        amount = np.maximum(np.logaddexp(0, z) - np.logaddexp(0, BIAS), 0)
+        none = np.exp(-np.bincount(bag_of, times * amount, len(y)) - np.logaddexp(0, leak))
         pull = weight * np.where(y > 0, -none / np.maximum(1 - none, 1e-9), 1.0)
-        g = pull[bag_of] * p
-        grad = np.append(np.bincount(columns, g[rows], size) / len(y) + strength * w / 10, (g.sum() + (pull * plain).sum() * p0) / len(y))
+        g = pull[bag_of] * times * ((u >= 0) | (y[bag_of] > 0))
+        of_w = np.bincount(columns, (g * p)[rows], size) / len(y) + strength * w / 10
+        grad = np.append(of_w, pull.sum() * p_leak / len(y))
         moment = 0.9 * moment + 0.1 * grad
         square = 0.99 * square + 0.01 * grad**2
         step = rate * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
         w -= step[:-1]
-        b -= float(step[-1])
-    return w, b
+        leak -= float(step[-1])
+    return w
 
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-    per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, features: int = FEATURES,
+    per_class: int = PER_CLASS, features: int = FEATURES,
 ) -> dict:
-    """The model, from at most ``per_class`` documents of each label and of at most ``max_chars`` characters.
+    """The model, from at most ``per_class`` documents of each label, of any length.
 
-    These bounds are the sample that reaches the driver. A document with several labels
+    Of this sample the distinct feature sets of its sentences reach the driver, not the texts. A document with several labels
     counts as toxic if one is 1; null labels aren't used. The classes are weighed as they
     occur. Without both labels nothing is learned and every score is 0.
     """
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.max(label).alias("_label"))
-    short = docs.where(F.char_length(text_or_empty(text)) <= max_chars)
-    ids = short.select(F.col(key).alias("_id")).distinct().join(marks, "_id").withColumn("_hash", F.xxhash64("_id"))
+    ids = docs.select(F.col(key).alias("_id")).distinct().join(marks, "_id").withColumn("_hash", F.xxhash64("_id"))
     totals = {r["_label"]: r["count"] for r in ids.groupBy("_label").count().collect()}
     if not (totals.get(0) and totals.get(1)):
         return {"weights": {}, "bias": None}
     sample = top_k_per(ids.where(F.col("_label").isin(0, 1)), ["_label"], [F.asc("_hash"), F.asc("_id")], per_class)
     sample = F.broadcast(sample.select("_id", "_label"))
-    rows = short.join(sample, short[key] == sample["_id"]).select(F.col("_id"), text_or_empty(text).alias("_text"), "_label")
-    given = rows.toPandas().sort_values(["_id", "_text"])
+    rows = docs.join(sample, docs[key] == sample["_id"]).select(F.col("_id"), text_or_empty(text).alias("_text"), "_label")
+    rows = cut_lineage(rows)
+    chosen = choose_features(rows, features, LEAST_DOCS)
+    given = feature_sentences(rows, chosen).toPandas()
+    given["_order"] = [(i, [list(f) for f in sets], list(n)) for i, sets, n in zip(given["_id"], given["found"], given["times"])]
+    given = given.sort_values("_order")
     y = given["_label"].to_numpy(float)
     share_of = {c: totals[c] / max(1, (y == c).sum()) for c in (0, 1)}
     weight = np.where(y > 0, share_of[1], share_of[0])
     weight = weight / weight.mean()
-    chosen = choose_features(given["_text"], y, features, LEAST_DOCS)
-    place = {f: i for i, f in enumerate(chosen)}
-    at, column, bag_of, plain = [], [], [], np.zeros(len(y))
-    for d, text_ in enumerate(given["_text"]):
-        for _, _, words in sentences(text_):
-            found = list({place[f] for w in words for f in features_of(w) if f in place})
-            if found:
-                at += [len(bag_of)] * len(found)
-                column += found
-                bag_of.append(d)
-            else:
-                plain[d] += 1
-    w, b = train_noisy_or(np.array(at, int), np.array(column, int), np.array(bag_of, int), plain, y, weight, len(chosen))
-    return {"weights": {f: float(w[i]) for f, i in place.items()}, "bias": b}
+    at, column, bag_of, times = [], [], [], []
+    for d, (sets, counts) in enumerate(zip(given["found"], given["times"])):
+        for found, n in zip(sets, counts):
+            at += [len(bag_of)] * len(found)
+            column += list(found)
+            bag_of.append(d)
+            times.append(n)
+    w = train_noisy_or(np.array(at, int), np.array(column, int), np.array(bag_of, int), np.array(times, float), y, weight, len(chosen))
+    return {"weights": {f: float(w[i]) for i, f in enumerate(chosen)}, "bias": BIAS}
+
+
+def softplus(x: float) -> float:
+    return max(x, 0.0) + log1p(exp(-abs(x)))
 
 
 class Scorer:
@@ -148,23 +193,22 @@ class Scorer:
             self.known[word] = found
         return found
 
-    def logits(self, text: str) -> Iterator[tuple[int, int, float]]:
-        """(start, end, logit) of every sentence; a feature counts once in a sentence."""
+    def amounts(self, text: str) -> Iterator[tuple[int, int, float]]:
+        """(start, end, amount) of every sentence with a feature; a feature counts once in a sentence."""
         if self.bias is None:
             return
         for start, end, words in sentences(text):
-            found = {f for w in words for f in self.features(w)}
-            yield start, end, self.bias + sum(self.weights[f] for f in found)
+            if found := {f for w in words for f in self.features(w)}:
+                yield start, end, max(0.0, softplus(self.bias + sum(self.weights[f] for f in found)) - softplus(self.bias))
 
     def score(self, text: str) -> float:
-        z = np.array([z for _, _, z in self.logits(text)])
-        return float(-np.expm1(-np.logaddexp(0, z).sum())) if len(z) else 0.0
+        return max(0.0, -expm1(-sum(a for _, _, a in self.amounts(text))))
 
 
 def score_toxicity(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score, predicted) of every whole text.
 
-    Null and empty texts and texts without a word have no sentence and score 0. Repeated
+    Null and empty texts and texts without a feature score 0, however long they are. Repeated
     rows each get a row; other columns are ignored.
     """
     shared = share(docs.sparkSession, model)
@@ -192,8 +236,8 @@ def toxic_sentences(docs: DataFrame, model: dict, key: str = "doc_id", text: str
         for batch in batches:
             at, rows = [], []
             for i, value in enumerate(batch["_text"]):
-                for start, end, z in scorer.logits(value):
-                    if (p := 1 / (1 + np.exp(-z))) >= least:
+                for start, end, amount in scorer.amounts(value):
+                    if (p := -expm1(-amount)) >= least:
                         at.append(i)
                         rows.append((start, end, value[start:end], float(p)))
             out = pd.DataFrame(rows, columns=["start", "end", "sentence", "score"])
