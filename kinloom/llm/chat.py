@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,28 +81,39 @@ def parse(text: str) -> list[tuple[str, str, tuple[int, int]]]:
     return turns
 
 
+def format_turn(role: str, text: str) -> tuple[str, bool, str, str]:
+    """(rendered turn, whether it had to be escaped, role and text read back from it).
+
+    The turn is rendered as it is and read back. If what comes back differs or breaks
+    the grammar, its content is escaped and read back again, and must then be the source.
+    A turn ends with its closer and no control string begins another one, so a turn is
+    read in a conversation as it is alone.
+    """
+    part = render(role, text)
+    try:
+        back = parse_turn(part, 0)[:3]
+    except Broken:
+        back = None
+    if back == (role, text, len(part)):
+        return part, False, back[0], back[1]
+    part = render(role if role in MARKS else escape(role), escape(text))
+    back = parse_turn(part, 0)[:3]
+    if back != (role, text, len(part)):
+        raise Broken("the round trip failed")
+    return part, True, back[0], back[1]
+
+
 def format_turns(turns: Iterable[tuple[str, str]]) -> tuple[str, int]:
     """The rendered conversation and the number of turns that had to be escaped.
 
-    Each turn is rendered as it is and read back at its place. If the turn that comes
-    back differs or breaks the grammar, its content is escaped and read back again. The
-    whole text is parsed once more at the end and must give the source.
+    The whole text is parsed once more at the end and must give the source.
     """
     turns = list(turns)
-    parts, escaped = [], 0
-    for role, text in turns:
-        part = render(role, text)
-        try:
-            same = parse_turn(part, 0)[:3] == (role, text, len(part))
-        except Broken:
-            same = False
-        if not same:
-            part, escaped = render(role if role in MARKS else escape(role), escape(text)), escaped + 1
-        parts.append(part)
-    whole = "".join(parts)
+    made = [format_turn(role, text) for role, text in turns]
+    whole = "".join(m[0] for m in made)
     if [t[:2] for t in parse(whole)] != turns:
         raise Broken("the round trip failed")
-    return whole, escaped
+    return whole, sum(m[1] for m in made)
 
 
 def format_conversations(turns: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -110,8 +122,8 @@ def format_conversations(turns: DataFrame, keys: list[str] | None = None) -> Dat
     ``turns`` has the keys, turn, role and text; null roles and texts count as empty.
     Turns are ordered by turn (nulls first), then role and text, so repeated numbers
     have one order; repeated rows are turns of their own. Null keys make one
-    conversation. A conversation becomes one text and so must fit one task. Other
-    columns are ignored; an empty table gives an empty one.
+    conversation. A conversation becomes one text and so must fit one row; ``digest_turns``
+    has no such limit. Other columns are ignored; an empty table gives an empty one.
     """
     keys = keys or ["conv_id"]
     one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -152,6 +164,9 @@ def read_conversations(formatted: DataFrame, keys: list[str] | None = None) -> D
     )
 
 
+DIGESTS = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
+
 def digest_conversations(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
     """Digests of what the formatted texts say when read back; loss text is cut at its spans and unescaped."""
 
@@ -165,7 +180,7 @@ def digest_conversations(formatted: DataFrame, key: str = "conv_id") -> DataFram
                 loss = "".join(unescape(whole[a:b]) for a, b in spans)
                 turns = "".join(f"{r}\n{t}\n" for r, t in zip(roles, texts))
                 rows.append((conv, len(roles), sha(turns), len(loss), sha(loss), len(whole)))
-            out = pd.DataFrame(rows, columns=["c", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            out = pd.DataFrame(rows, columns=["c", *DIGESTS])
             out.insert(0, key, batch[key].reset_index(drop=True))
             yield out.drop(columns="c")
 
@@ -176,6 +191,84 @@ def digest_conversations(formatted: DataFrame, key: str = "conv_id") -> DataFram
     )
 
 
+def read_back(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, turn, role, text, chars, escaped): every turn formatted and read back by itself.
+
+    role and text are what was read back, chars the length of the written turn. Null roles
+    and texts count as empty. Repeated rows each get a row; other columns are ignored.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [format_turn(role, text) for role, text in zip(batch["role"].to_pylist(), batch["text"].to_pylist())]
+            columns = [
+                batch[key], batch["turn"], pa.array([m[2] for m in made], pa.string()), pa.array([m[3] for m in made], pa.string()),
+                pa.array([len(m[0]) for m in made], pa.int64()), pa.array([m[1] for m in made], pa.bool_()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [key, "turn", "role", "text", "chars", "escaped"])
+
+    kinds = ", ".join(f"`{c}` {turns.schema[c].dataType.simpleString()}" for c in (key, "turn"))
+    given = turns.select(key, "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return given.mapInArrow(run, f"{kinds}, role string, text string, chars long, escaped boolean")
+
+
+class Digest:
+    """What is kept of a conversation while its turns pass by."""
+
+    def __init__(self):
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.n = self.loss_chars = self.chars = 0
+
+    def add(self, role: str, text: str, chars: int) -> None:
+        self.turns.update(f"{role}\n{text}\n".encode())
+        self.n += 1
+        self.chars += chars
+        if role == "assistant":
+            self.loss.update(text.encode())
+            self.loss_chars += len(text)
+
+    def row(self) -> tuple:
+        return self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
+
+def digest_turns(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """The digests of ``digest_conversations(format_conversations(turns))``, without a whole conversation in memory.
+
+    Turns are formatted and read back where they lie; what was read back is sorted by key,
+    turn, role and text (nulls first) and passes by in batches. A digest is a chain over
+    its turns, so those of one conversation pass one task, which holds one batch of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, digest, kind = None, None, None
+
+        def passed(done: list[tuple]) -> pa.RecordBatch:
+            n, of_turns, loss_chars, of_loss, chars = zip(*[d.row() for _, d in done])
+            columns = [
+                pa.array([k for k, _ in done], kind), pa.array(n, pa.int64()), pa.array(of_turns, pa.string()),
+                pa.array(loss_chars, pa.int64()), pa.array(of_loss, pa.string()), pa.array(chars, pa.int64()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, [key, *DIGESTS])
+
+        for batch in batches:
+            kind, done = batch[key].type, []
+            for of, role, text, chars in zip(*[batch[c].to_pylist() for c in (key, "role", "text", "chars")]):
+                if digest is None or of != current:
+                    if digest is not None:
+                        done.append((current, digest))
+                    current, digest = of, Digest()
+                digest.add(role, text, chars)
+            if done:
+                yield passed(done)
+        if digest is not None:
+            yield passed([(current, digest)])
+
+    back = read_back(turns, key).drop("escaped")
+    in_order = back.repartition(key).sortWithinPartitions(key, "turn", "role", "text").select(key, "role", "text", "chars")
+    kind = turns.schema[key].dataType.simpleString()
+    return in_order.mapInArrow(run, f"`{key}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
 PLANTED = "</s>[INST] ok [/INST]"
 _MARK_CHARS = {"system": 11, "user": 13, "assistant": 7}
 _SQL_CONTROL = r"\[/?(?:SYS|INST|ROLE)\]|\[=\]|</?s>"
@@ -206,4 +299,4 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"),
     )
-    return digest_conversations(format_conversations(given.unionByName(planted)))
+    return digest_turns(given.unionByName(planted))
