@@ -40,10 +40,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows for which a language is found: a null text, one without a letter, and (if nothing could be
-    learned) every row has none. The lang column is learned from, never read for a decision."""
+    """Rows for which a language is found: a null text and one without a letter have none. If nothing could
+    be learned, all others are kept. The lang column is learned from, never read for a decision."""
     rows = with_row(docs)
     model = language.fit_languages(rows.where(fold("doc_id", language.HELD_OUT) != 0))
+    if not model["names"]:
+        return without(rows, language.without_letter(rows, "_row")).select(*COLUMNS)
     found = language.predict_languages(rows, model, "_row")
     return without(rows, found.where(F.col("lang_pred") == language.UNKNOWN)).select(*COLUMNS)
 
