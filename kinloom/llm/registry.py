@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ["language", "lm", "topk", "toxicity", "minhash", "sharding", "bpe", "simhash", "chat", "packing", "divergence", "decontaminate"]
+MODULES = ["language", "lm", "topk", "toxicity", "minhash", "sharding", "bpe", "simhash", "chat", "packing", "divergence", "decontaminate", "repair"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
