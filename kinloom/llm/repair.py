@@ -37,6 +37,7 @@ CLOSING = ["", "II", "I", ""]
 NEVER = 1 << 60
 
 
+@lru_cache(maxsize=None)  # nine codes, four states
 def row_edits(code: str, state: int) -> list[tuple[str, int, int]]:
     """(edit, cost, state after) of a row. A code is the initial of its role (x: none of s, u, a),
     a capital if the row is truncated, or - if it has to go."""
@@ -241,7 +242,9 @@ def chain_segments(segments: DataFrame) -> DataFrame:
 
     counted = segments.groupBy("_key").agg((F.count("*") == 1).alias("alone"))
     columns = ["_key", "part", "first", "codes", "alone"]
-    given = segments.join(counted, "_key").select(*columns)
+    tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the rows are few bytes but much work: a stated number of tasks isn't made smaller
+    given = segments.join(counted, "_key").select(*columns).repartition(tasks, "_key", "part", "first")
     kinds = "_key string, part int, first long, codes string, alone boolean, costs array<long>, orders array<int>"
     searched = given.mapInPandas(search, kinds).repartition("_key").sortWithinPartitions("_key", "part", "first")
     return searched.mapInPandas(chain, "_key string, part int, first long, edits array<string>")
