@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalars", "register", "relational", "importing_checks", "linkage", "family_graph", "pages"]
+MODULES = ["scalars", "register", "relational", "importing_checks", "linkage", "merging", "family_graph", "pages"]
 
 
 def load_queries() -> None:

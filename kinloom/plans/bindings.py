@@ -185,7 +185,56 @@ def _candidates(d) -> str:
     FROM {{orders}}"""
 
 
+def _kin(d) -> str:
+    """Customers as persons in pairs that agree in all but what a few of them lack."""
+    g = d.div("c_custkey", 2)
+    return f"""
+    SELECT c_custkey AS id, c_mktsegment AS source_batch_id, {g} AS pair, c_custkey % 2 AS copy,
+           concat('n', {g} % 50) AS first_name, concat('s', {g} % 70) AS last_name,
+           CASE WHEN {g} % 2 = 0 THEN 'M' ELSE 'F' END AS gender, concat('p', {g} % 9) AS birth_place,
+           CASE WHEN {g} % 2 = 0 AND c_custkey % 2 = 1 THEN NULL ELSE {d.days('1800-01-01', f'({g} * 37) % 20000')} END AS birth_date,
+           {d.array(f"concat('n', {g} % 50)")} AS first_name_codes, {d.array(f"concat('s', {g} % 70)")} AS last_name_codes,
+           {d.array(f"CAST({g} % 50 AS DOUBLE) / 50", f"CAST({g} % 70 AS DOUBLE) / 70", "CAST(1 AS DOUBLE)")} AS embedding,
+           CASE WHEN c_custkey > 40 THEN c_custkey - 40 END AS father_id, CAST(NULL AS STRING) AS maiden_name,
+           {"CAST(array() AS ARRAY<STRING>)" if d is Spark else "CAST([] AS VARCHAR[])"} AS maiden_name_codes, CAST(NULL AS DATE) AS death_date,
+           CAST(NULL AS STRING) AS death_place, CAST(NULL AS STRING) AS parish, CAST(NULL AS STRING) AS residence
+    FROM {{customer}}"""
+
+
+def _kin_event(d, base: int, first: str, second: str, misspelt: str) -> str:
+    """An entry for every person of a pair; ``misspelt``: where the second of the pair has another name."""
+    name = f"CASE WHEN copy = 1 AND {misspelt} THEN concat('x', pair % 50) ELSE concat('n', pair % 50) END"
+    return f"""
+    SELECT {base} + id AS id, source_batch_id, concat('p', pair % 9) AS parish, CAST(NULL AS STRING) AS village,
+           {name} AS {first}, {d.array(name)} AS {first}_codes,
+           concat('s', pair % 70) AS {second}, {d.array("concat('s', pair % 70)")} AS {second}_codes, embedding"""
+
+
+def _kin_baptisms(d) -> str:
+    return f"""{_kin_event(d, 1000000000, 'child_name', 'father_surname', 'pair % 3 = 0')},
+           id AS child_id, concat('m', pair % 11) AS mother_name, {d.array("concat('m', pair % 11)")} AS mother_name_codes,
+           {d.days('1800-01-04', '(pair * 37) % 20000')} AS baptism_date
+    FROM {{kin}}"""
+
+
+def _kin_deaths(d) -> str:
+    return f"""{_kin_event(d, 2000000000, 'deceased_name', 'deceased_surname', 'pair % 5 <> 0')},
+           id AS deceased_id, {d.days('1870-01-01', '(pair * 11) % 9000')} AS death_date
+    FROM {{kin}}"""
+
+
+def _kin_marriages(d) -> str:
+    return f"""{_kin_event(d, 4000000000, 'spouse1_name', 'spouse1_surname', 'pair % 4 <> 0')},
+           id AS spouse1_id, id + 2 AS spouse2_id, concat('n', (pair + 1) % 50) AS spouse2_name, {d.array("concat('n', (pair + 1) % 50)")} AS spouse2_name_codes,
+           {d.days('1830-01-01', '(pair * 13) % 12000')} AS marriage_date
+    FROM {{kin}}"""
+
+
 BUILDERS = {
+    "kin": _kin,
+    "kin_baptisms": _kin_baptisms,
+    "kin_deaths": _kin_deaths,
+    "kin_marriages": _kin_marriages,
     "persons": _persons,
     "linked_persons": _linked_persons,
     "copied_persons": _copied_persons,
