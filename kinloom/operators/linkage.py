@@ -363,28 +363,94 @@ def distinct_profiles(records: DataFrame, kind: str) -> DataFrame:
     )
 
 
+def _signature(codes: str) -> Column:
+    """64 bits, one of them set for each code."""
+    return F.expr(f"aggregate(coalesce({codes}, cast(array() as array<string>)), 0L, (s, c) -> s | shiftleft(1L, cast(pmod(xxhash64(c), 64L) as int)))")
+
+
+def _bits_of(columns: tuple[str, ...], of: list[str], start: int) -> int:
+    return sum(1 << (start + of.index(c)) for c in columns)
+
+
+def marks_of(kind: str, side: str) -> dict[str, Column]:
+    """What ``could_reach`` looks at, all numbers and none null: which columns are known as bits, days of the dates
+    (far away if null, and on the other side of the other record's), a hash of the sex, codes of each name as a number and a signature."""
+    k = KINDS[kind]
+    names, far = k.name_columns(), -10_000_000 if side == "a" else 10_000_000
+    known = [present(F.col(c)) for c in names] + [F.col(c).isNotNull() for c in k.dates] + [any_of([present(F.col(c)) for c in k.places])]
+    marks = {"known": sum((F.when(there, 1 << i).otherwise(0) for i, there in enumerate(known)), F.lit(0))}
+    for i, c in enumerate(k.dates):
+        marks[f"day{i}"] = F.coalesce(F.unix_date(c), F.lit(far))
+    if k.gender:
+        marks["sex"] = F.when(present(F.col(k.gender)), F.xxhash64(k.gender)).otherwise(F.lit(0).cast("long"))
+    for i, c in enumerate(names):
+        there = present(F.col(c)) & F.col(codes_of(c)).isNotNull()
+        marks[f"n{i}"] = F.when(there, F.size(F.array_distinct(codes_of(c)))).otherwise(0)
+        marks[f"bits{i}"] = F.when(there, F.coalesce(_signature(codes_of(c)), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+    return marks
+
+
+def could_reach(kind: str, threshold: float, a, b) -> Column:
+    """A bound on ``can_reach`` of a few numbers; it never rejects a pair that can.
+
+    A code whose bit the other side lacks isn't among its codes, so two sets share at most
+    what is left of either. Places count as equal, vectors too. Short on purpose: a
+    method over 8000 bytes isn't compiled by the JVM.
+    """
+    k = KINDS[kind]
+    names = k.name_columns()
+    both = a("known").bitwiseAND(b("known"))
+
+    def shared(c: str) -> Column:
+        i = names.index(c)
+        mine, theirs, n, m = a(f"bits{i}"), b(f"bits{i}"), a(f"n{i}"), b(f"n{i}")
+        most = F.least(n - F.bit_count(mine.bitwiseAND(F.bitwise_not(theirs))), m - F.bit_count(theirs.bitwiseAND(F.bitwise_not(mine))))
+        return most / (n + m - most + 1e-12)
+
+    def mean(values: list[Column], mask: int) -> Column:
+        return sum(values[1:], values[0]) / F.greatest(F.bit_count(both.bitwiseAND(F.lit(mask))), F.lit(1))
+
+    def on_both(mask: int) -> Column:
+        return (a("known").bitwiseAND(F.lit(mask)) > 0) & (b("known").bitwiseAND(F.lit(mask)) > 0)
+
+    groups = [mean([shared(c) for c in group], _bits_of(group, names, 0)) for group in k.names]
+    score = sum(groups[1:], groups[0]) / len(groups)
+    days = [F.greatest(F.lit(0.0), 1 - F.abs(a(f"day{i}") - b(f"day{i}")) / 3652.5) for i in range(len(k.dates))]
+    dated = _bits_of(k.dates, list(k.dates), len(names))
+    placed = on_both(1 << (len(names) + len(k.dates)))
+    whole = (
+        0.4 + 0.3 * F.when(on_both(_bits_of(k.named_by, names, 0)), score).otherwise(scores.MISSING)
+        + 0.2 * F.when(on_both(dated), mean(days, dated)).otherwise(scores.MISSING) + F.when(placed, 0.1).otherwise(0.1 * scores.MISSING)
+    )
+    return whole >= threshold - 1e-6
+
+
 def profile_pairs(profiles: DataFrame, kind: str, threshold: float) -> DataFrame:
     """Unordered pairs of different profiles at or above the threshold, each once,
     and the pair of a profile with itself when it has copies."""
     k = KINDS[kind]
-    names = k.name_columns()
-    # Join rows are lean: no vectors, and a name only as a mark that it is there.
-    marks = [F.when(present(F.col(c)), F.lit("y")).alias(c) for c in names]
-    gender = [k.gender] if k.gender else []
-    lean = F.struct(*marks, *map(codes_of, names), *k.dates, *k.places, *gender)
-    keyed = with_block_keys(profiles, kind, threshold).select("profile", lean.alias("body"), "left_keys", "right_keys")
-    keyed = cut_lineage(keyed)
-    left = keyed.select(F.col("profile").alias("p"), F.col("body").alias("a"), F.explode("left_keys").alias("key"))
-    right = keyed.select(F.col("profile").alias("q"), F.col("body").alias("b"), F.explode("right_keys").alias("key"))
+    # Join rows are lean: numbers only, no vectors, names, codes or places.
+    keyed = with_block_keys(profiles, kind, threshold)
+    keyed = cut_lineage(
+        keyed.select("profile", *[c.alias(f"{s}_{n}") for s in "ab" for n, c in marks_of(kind, s).items()], "left_keys", "right_keys")
+    )
+
+    def side(s: str, name: str, keys: str) -> DataFrame:
+        zero = {"int": F.lit(0), "bigint": F.lit(0).cast("long")}
+        marks = [F.coalesce(c, zero[t]).alias(c) for c, t in keyed.dtypes if c.startswith(f"{s}_")]  # never null: no null checks in the join
+        return keyed.select(F.col("profile").alias(name), *marks, F.explode(keys).alias("key"))
+
+    left, right = side("a", "p", "left_keys"), side("b", "q", "right_keys")
     # A block with many profiles is dealt out: the work of a task stays near
-    # BLOCK_ROWS rows against the block, and only pairs that can reach the threshold
-    # come out, each once even if it shares several keys.
-    met = skew_join(left, right, ["key"], hot=hot_keys(right, ["key"], BLOCK_ROWS))
-    near = F.lit(True)
+    # BLOCK_ROWS rows against the block, and only pairs that could reach the threshold
+    # come out; those that share several keys are made one before they are scored.
+    a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
+    met = skew_join(left, right, ["key"], hot=hot_keys(right.select("key"), ["key"], BLOCK_ROWS)).where(F.col("p") != F.col("q"))
     if k.window_days:
-        date = k.dates[0]
-        near = F.abs(F.date_diff(F.col(f"a.{date}"), F.col(f"b.{date}"))) <= k.window_days
-    met = met.where((F.col("p") != F.col("q")) & near & can_reach(kind, threshold))
+        met = met.where(F.abs(a("day0") - b("day0")) <= k.window_days)
+    if k.gender:
+        met = met.where((a("sex") == b("sex")) | (a("sex") == 0) | (b("sex") == 0))
+    met = met.where(could_reach(kind, threshold, a, b))
     met = met.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
     own = profiles.where("copies > 1")
     if k.window_days:
