@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import output_key
@@ -179,24 +179,53 @@ def group_status(groups: DataFrame, now: Column, timeout_seconds: int = 300) ->
     )
 
 
+def session_summaries(
+    events: DataFrame, key: str, at: str, gap_seconds: int, tie: Column | None = None, gaps_per_chunk: int = 64
+) -> DataFrame:
+    """(key, messages, first_seen, last_updated, last_tie): runs of events less than the gap apart.
+
+    Time is cut into chunks. Inside a chunk of a key the runs are summed up by themselves: those in the
+    middle are closed, only the first and the last may go on in the chunks beside it. These
+    edges are then stitched along the chunks. So a key with a third of all events is spread over
+    its chunks, and what meets in one task grows with the time covered, not with
+    the events. Events without a time are left out; ``last_tie`` is the largest tie of the last moment.
+    """
+    micros = gap_seconds * 1_000_000
+    given = events.where(F.col(at).isNotNull()).select(
+        F.col(key).alias("_key"), F.unix_micros(F.col(at).cast("timestamp")).alias("_at"), (F.lit(None).cast("long") if tie is None else tie).alias("_tie")
+    )
+    moments = given.groupBy("_key", F.floor(F.col("_at") / (micros * gaps_per_chunk)).alias("_chunk"), "_at").agg(
+        F.count("*").alias("_n"), F.max("_tie").alias("_tie")
+    )
+    inside = Window.partitionBy("_key", "_chunk").orderBy("_at")
+    fresh = F.when(F.col("_at") - F.lag("_at").over(inside) < micros, 0).otherwise(1)
+    runs = moments.withColumn("_run", fresh).withColumn("_run", F.sum("_run").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("_key", "_chunk", "_run").agg(
+        F.sum("_n").alias("_n"), F.min("_at").alias("_first"), F.max(F.struct("_at", "_tie")).alias("_last")
+    )
+    middle = (F.col("_run") > 1) & (F.col("_run") < F.max("_run").over(Window.partitionBy("_key", "_chunk")))
+    runs = runs.withColumn("_middle", middle)
+    along = Window.partitionBy("_key").orderBy("_first")
+    edges = runs.where("not _middle").withColumn("_goes_on", F.col("_first") - F.lag("_last._at").over(along) < micros)
+    edges = edges.withColumn("_run", F.sum(F.when(F.col("_goes_on"), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    stitched = edges.groupBy("_key", "_run").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    columns = ["_key", "_n", "_first", "_last"]
+    kind = events.schema[at].dataType
+    return runs.where("_middle").select(*columns).unionByName(stitched.select(*columns)).select(
+        F.col("_key").alias(key), F.col("_n").alias("messages"), F.timestamp_micros("_first").cast(kind).alias("first_seen"),
+        F.timestamp_micros("_last._at").cast(kind).alias("last_updated"), F.col("_last._tie").alias("last_tie"),
+    )
+
+
 def session_documents(messages: DataFrame, key: str, at: str, gap_seconds: int) -> DataFrame:
     """Groups that end when no message came for the gap; the gap restarts per message."""
-    window = F.session_window(at, f"{gap_seconds} seconds")
-    return (
-        messages.groupBy(key, window.alias("_w"))
-        .agg(F.count("*").alias("messages"), F.min(at).alias("first_seen"), F.max(at).alias("last_updated"))
-        .drop("_w")
-    )
+    return session_summaries(messages, key, at, gap_seconds).drop("last_tie")
 
 
 def debounce(events: DataFrame, key: str, at: str, tie: str, quiet_seconds: int) -> DataFrame:
     """Last event of every quiet-separated burst of a key."""
-    last = F.max(F.struct(at, tie)).alias("last")
-    return (
-        events.groupBy(key, F.session_window(at, f"{quiet_seconds} seconds").alias("_w"))
-        .agg(last, F.count("*").alias("burst"))
-        .select(key, F.col(f"last.{at}").alias(at), F.col(f"last.{tie}").alias(tie), "burst")
-    )
+    bursts = session_summaries(events, key, at, quiet_seconds, F.col(tie))
+    return bursts.select(key, F.col("last_updated").alias(at), F.col("last_tie").alias(tie), F.col("messages").alias("burst"))
 
 
 def drop_late(messages: DataFrame, closed: DataFrame) -> DataFrame:
