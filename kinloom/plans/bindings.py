@@ -153,12 +153,12 @@ def _order_events(d) -> str:
 
 
 def _document_pages(d) -> str:
-    """Line items as pages; returned ones are not there, which makes gaps."""
+    """All line items as pages; returned ones stand ten pages further on, which makes gaps."""
     return """
-    SELECT l_orderkey AS document_id, l_linenumber AS page_number,
+    SELECT l_orderkey AS document_id, l_linenumber + CASE WHEN l_returnflag = 'R' THEN 10 ELSE 0 END AS page_number,
            concat('s3://scans/', l_suppkey, '/', l_orderkey, '/', l_partkey, '.jpg') AS path,
            l_shipdate AS at, CAST(l_quantity AS BIGINT) AS quantity
-    FROM {lineitem} WHERE l_returnflag <> 'R'"""
+    FROM {lineitem}"""
 
 
 def _page_texts(d) -> str:

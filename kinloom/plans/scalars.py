@@ -161,7 +161,7 @@ NEIGHBOURS = """
     SELECT a.id, a.event_date AS date_a, b.event_date AS date_b, a.parish AS parish_a, b.parish AS parish_b,
            a.village AS village_a, b.village AS village_b, a.name_a AS name_1, b.name_a AS name_2,
            a.name_c AS name_3, b.name_c AS name_4, a.codes_a AS codes_1, b.codes_a AS codes_2, a.codes_c AS codes_3, b.codes_c AS codes_4
-    FROM {order_events} a JOIN {order_events} b ON b.id = a.id + 1"""
+    FROM {order_events} a LEFT JOIN {order_events} b ON b.id = a.id + 1"""
 
 
 def _date_score(a: str, b: str) -> str:
@@ -361,12 +361,12 @@ def l2_normalize(spark, d):
     "cosine_pairs",
     """
     SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
-    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+    FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
 )
 def cosine_pairs(spark, d):
     a = bound(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x"))
     b = bound(spark, d, "embeddings").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y"))
-    return a.join(b, "vec_id").select("vec_id", F.round(vectors.cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
+    return a.join(b, "vec_id", "left").select("vec_id", F.round(vectors.cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
 # ---- features -------------------------------------------------------------
@@ -698,13 +698,13 @@ SCORED = "0.4 * v + 0.3 * p + 0.2 * t + 0.1 * l"
         f"""
     SELECT id, round(v, 6) AS vector_similarity, round(p, 6) AS phonetic_similarity, round(t, 6) AS date_similarity,
            round(l, 6) AS location_similarity, round({SCORED}, 6) AS composite_score
-    FROM (SELECT a.id, {event_score_sql()} FROM {{order_events}} a JOIN {{order_events}} b ON b.id = a.id + 1)"""
+    FROM (SELECT x.id, v, p, t, l FROM {{order_events}} x LEFT JOIN (SELECT a.id, {event_score_sql()} FROM {{order_events}} a JOIN {{order_events}} b ON b.id = a.id + 1) USING (id))"""
     ),
 )
 def composite(spark, d):
     rows = spark_sql(spark, d, DEATHS)
     body = F.struct(*[c for c in rows.columns if c != "id"])
-    pairs = rows.select("id", body.alias("a")).join(rows.select((F.col("id") - 1).alias("id"), body.alias("b")), "id")
+    pairs = rows.select("id", body.alias("a")).join(rows.select((F.col("id") - 1).alias("id"), body.alias("b")), "id", "left")
     out = composite_score(pairs, "death")
     kept = ["vector_similarity", "phonetic_similarity", "date_similarity", "location_similarity", "composite_score"]
     return out.select("id", *[F.round(c, 6).alias(c) for c in kept])
