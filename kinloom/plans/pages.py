@@ -48,10 +48,8 @@ BODIES = """
 )
 def message_parse(spark, d):
     """Four address forms; unusable messages carry their reason."""
-    good, bad = messages.parse_messages(spark_sql(spark, d, BODIES), "image")
-    return good.select("id", "uri", F.lit(None).cast("string").alias("problem")).union(
-        bad.select("id", F.lit(None).cast("string"), "problem")
-    )
+    marked = messages.mark_messages(spark_sql(spark, d, BODIES), "image")
+    return marked.select("id", F.when(F.col("problem").isNull(), F.col("uri")).alias("uri"), "problem")
 
 
 PAGE_BODIES = """
@@ -67,12 +65,12 @@ PAGE_BODIES = """
               CASE conv_id % 4 WHEN 3 THEN 'no document_id' WHEN 2 THEN 'no metadata' END AS problem FROM conversations""",
 )
 def page_messages(spark, d):
-    good, bad = messages.parse_messages(spark_sql(spark, d, PAGE_BODIES), "page")
-    none = F.lit(None).cast("string")
-    return good.select(
-        "conv_id", "turn", F.col("m.metadata.document_id").alias("document_id"),
-        F.col("m.ocr_result.markdown_text").alias("text"), none.alias("problem"),
-    ).union(bad.select("conv_id", "turn", none, none, "problem"))
+    marked = messages.mark_messages(spark_sql(spark, d, PAGE_BODIES), "page")
+    usable = F.col("problem").isNull()
+    return marked.select(
+        "conv_id", "turn", F.when(usable, F.col("m.metadata.document_id")).alias("document_id"),
+        F.when(usable, F.col("m.ocr_result.markdown_text")).alias("text"), "problem",
+    )
 
 
 @query(

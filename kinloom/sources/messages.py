@@ -54,19 +54,26 @@ def _problem(kind: str, m: Column, body: Column) -> Column:
     return unreadable.when(m["gedcom_data"].isNull(), "no record data")
 
 
-def parse_messages(df: DataFrame, kind: str, body: str = "body") -> tuple[DataFrame, DataFrame]:
-    """(usable, rejected). Usable rows gain the struct ``m``, image rows also ``uri``."""
-    marked = _marked(df, kind, body)
-    good = marked.where("problem is null").drop("problem")
-    if kind == "image":
-        good = good.withColumn("uri", _image_uri(F.col("m")))
-    return good, marked.where("problem is not null").drop("m")
+def mark_messages(df: DataFrame, kind: str, body: str = "body") -> DataFrame:
+    """Every message with the struct ``m``, its ``problem`` (null if it can be used) and, for images, ``uri``.
+
+    A body is parsed once: problem and address are worked out inside a generator, through which no
+    filter or column of later steps is pushed back to the parser.
+    """
+    parsed = F.array(F.struct(F.from_json(F.col(body), SCHEMAS[kind]).alias("m")))
 
+    def judged(row: Column) -> Column:
+        m = row["m"]
+        columns = [m.alias("m"), _problem(kind, m, F.col(body)).alias("problem")]
+        return F.struct(*columns, *([_image_uri(m).alias("uri")] if kind == "image" else []))
 
-def _marked(df: DataFrame, kind: str, body: str) -> DataFrame:
-    parsed = F.from_json(F.col(body), SCHEMAS[kind])
-    marked = df.withColumn("m", parsed)
-    return marked.withColumn("problem", _problem(kind, F.col("m"), F.col(body)))
+    return df.drop("m", "problem", *(["uri"] if kind == "image" else [])).select("*", F.inline(F.transform(parsed, judged)))
+
+
+def parse_messages(df: DataFrame, kind: str, body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """(usable, rejected). Usable rows gain the struct ``m``, image rows also ``uri``."""
+    marked = mark_messages(df, kind, body)
+    return marked.where("problem is null").drop("problem"), marked.where("problem is not null").drop("m", "uri")
 
 
 def read_messages(
