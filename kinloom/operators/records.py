@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_gedcom_date
 from ..functions.text import split_name
+from ..session import cut_lineage
 from .windows import first_per, running_sum, skew_join
 
 LINE = r"^\s*\uFEFF?(\d+)\s+(?:(@[^@]+@)\s+)?(\w+)(?: (.*))?$"
@@ -39,9 +40,10 @@ def assemble_records(lines: DataFrame, lines_per_chunk: int = LINES_PER_CHUNK) -
     """Add ``record_no`` (per level-0 line) and ``parent_line`` (line number, null at level 0).
 
     The record number is a running sum in chunks of lines, so a huge file is not one
-    task. A line's parent is the last earlier line of its record one level up.
+    task. A line's parent is the last earlier line of its record one level up. The lines
+    are written first, as the running sum reads them twice and parsing them costs most.
     """
-    lines = lines.where(F.col("level").isNotNull())
+    lines = cut_lineage(lines.where(F.col("level").isNotNull()))
     starts = (F.col("level") == 0).cast("int")
     chunk = F.floor(F.col("line_no") / lines_per_chunk)
     numbered = running_sum(lines, ["file_id"], chunk, [F.asc("line_no")], starts, "record_no")
@@ -97,11 +99,17 @@ def _tag(*names: str) -> Column:
     return F.col("tag").isin(*names)
 
 
-def individuals_of(records: DataFrame) -> DataFrame:
-    """One row per individual record, holding all that persons and events need."""
+def gather_records(records: DataFrame) -> DataFrame:
+    """One row per individual and family record with all that the tables need of it, written by kind.
+
+    Blocks are built once for both kinds; ``record_tag`` is INDI or FAM. ``children`` are
+    the CHIL lines of a record, which is read as a whole anyway.
+    """
     filled = F.col("value").isNotNull()
     event = F.struct("date", "place")
-    return (
+    dated = F.col("first_date").isNotNull()
+    child = F.struct(F.col("block_line").alias("line_no"), F.col("value").alias("child"))
+    rows = (
         blocks_of(records)
         .groupBy("file_id", "record_no")
         .agg(
@@ -115,39 +123,38 @@ def individuals_of(records: DataFrame) -> DataFrame:
             _first(event, _tag("BIRT")).alias("birth"),
             _first(event, _tag("DEAT")).alias("death"),
             _first(event, _tag("BAPM", "CHR")).alias("baptism"),
-            _last(F.col("first_date"), _tag("BIRT") & F.col("first_date").isNotNull()).alias("raw_birth"),
-            _last(F.col("first_date"), _tag("DEAT") & F.col("first_date").isNotNull()).alias("raw_death"),
-        )
-        .where((F.col("record_tag") == "INDI") & F.col("xref").isNotNull())
-        .drop("record_tag")
-    )
-
-
-def families_of(records: DataFrame) -> DataFrame:
-    filled = F.col("value").isNotNull()
-    return (
-        blocks_of(records)
-        .groupBy("file_id", "record_no")
-        .agg(
-            F.max("xref").alias("xref"),
-            F.max("record_tag").alias("record_tag"),
+            _last(F.col("first_date"), _tag("BIRT") & dated).alias("raw_birth"),
+            _last(F.col("first_date"), _tag("DEAT") & dated).alias("raw_death"),
             _last(F.col("value"), _tag("HUSB") & filled).alias("husband"),
             _last(F.col("value"), _tag("WIFE") & filled).alias("wife"),
-            _first(F.struct("date", "place"), _tag("MARR")).alias("marriage"),
-            _last(F.col("first_date"), _tag("MARR") & F.col("first_date").isNotNull()).alias("raw_marriage"),
+            _first(event, _tag("MARR")).alias("marriage"),
+            _last(F.col("first_date"), _tag("MARR") & dated).alias("raw_marriage"),
+            F.collect_list(F.when(_tag("CHIL") & filled, child)).alias("children"),
         )
-        .where((F.col("record_tag") == "FAM") & F.col("xref").isNotNull())
-        .drop("record_tag")
+        .where(F.col("record_tag").isin("INDI", "FAM"))
     )
+    return cut_lineage(rows, by=["record_tag"])
 
 
-def children_of_families(records: DataFrame) -> DataFrame:
-    """(file_id, record_no, line_no, child) of every CHIL line of a family."""
-    heads = records.where("level = 0 and tag = 'FAM'").select("file_id", "record_no")
-    lines = records.where("level = 1 and tag = 'CHIL' and value is not null")
-    return lines.join(heads, ["file_id", "record_no"], "left_semi").select(
-        "file_id", "record_no", "line_no", F.col("value").alias("child")
-    )
+PERSONAL = ["name", "last_name_value", "sex", "last_sex_value", "occupation", "birth", "death", "baptism", "raw_birth", "raw_death"]
+FAMILIAL = ["husband", "wife", "marriage", "raw_marriage"]
+
+
+def individuals_of(gathered: DataFrame) -> DataFrame:
+    """One row per individual record, holding all that persons and events need."""
+    rows = gathered.where((F.col("record_tag") == "INDI") & F.col("xref").isNotNull())
+    return rows.select("file_id", "record_no", "xref", *PERSONAL)
+
+
+def families_of(gathered: DataFrame) -> DataFrame:
+    rows = gathered.where((F.col("record_tag") == "FAM") & F.col("xref").isNotNull())
+    return rows.select("file_id", "record_no", "xref", *FAMILIAL)
+
+
+def children_of_families(gathered: DataFrame) -> DataFrame:
+    """(file_id, record_no, xref, husband, wife, line_no, child) of every CHIL line of a family."""
+    rows = gathered.where("record_tag = 'FAM'")
+    return rows.select("file_id", "record_no", "xref", "husband", "wife", F.inline("children"))
 
 
 def assign_batch(files: DataFrame) -> DataFrame:
@@ -226,37 +233,49 @@ SPOUSE_COLUMNS = [("id", "_id"), ("first_name", "_name"), ("last_name", "_surnam
 
 
 def build_marriages(families: DataFrame, persons: DataFrame) -> DataFrame:
-    """Marriages with a readable date, with the spouses that exist in the batch."""
+    """Marriages with a readable date, with the spouses that exist in the batch; persons are read once for both."""
     rows = first_per(assign_batch(families), ["source_batch_id", "xref"], [F.asc("record_no")])
-    rows = rows.withColumn("marriage_date", parse_gedcom_date(F.col("marriage.date")))
-    rows = rows.where(F.col("marriage_date").isNotNull())
-    rows = resolve_xref(rows, persons, "husband", "spouse1", SPOUSE_COLUMNS)
-    rows = resolve_xref(rows, persons, "wife", "spouse2", [*SPOUSE_COLUMNS, ("maiden_name", "_maiden_name")])
-    gedcom_id = F.concat("xref", F.lit("_MARR"))
-    return rows.select(
+    rows = rows.select(
+        "source_batch_id", F.col("xref").alias("_family"), parse_gedcom_date(F.col("marriage.date")).alias("marriage_date"),
+        F.col("marriage.place").alias("parish"), "husband", "wife",
+    ).where(F.col("marriage_date").isNotNull())
+    sides = F.array(*[F.struct(F.lit(n).alias("_side"), F.col(c).alias("_xref")) for n, c in ((1, "husband"), (2, "wife"))])
+    asked = rows.select("source_batch_id", "_family", "marriage_date", "parish", F.inline(sides))
+    found = resolve_xref(asked, persons, "_xref", "_", [*SPOUSE_COLUMNS, ("maiden_name", "_maiden_name")])
+    told = ["__id", "__name", "__surname", "__maiden_name"]
+    both = found.groupBy("source_batch_id", "_family").agg(
+        F.max("marriage_date").alias("marriage_date"), F.max("parish").alias("parish"),
+        *[F.max(F.when(F.col("_side") == n, F.struct(*told))).alias(f"_{n}") for n in (1, 2)],
+    )
+    gedcom_id = F.concat("_family", F.lit("_MARR"))
+    return both.select(
         record_id("source_batch_id", gedcom_id).alias("id"),
         gedcom_id.alias("gedcom_id"),
         "source_batch_id",
         "marriage_date",
-        F.col("marriage.place").alias("parish"),
-        *[f"spouse1{s}" for s in ("_id", "_name", "_surname")],
-        *[f"spouse2{s}" for s in ("_id", "_name", "_surname", "_maiden_name")],
+        "parish",
+        *[F.col(f"_1._{s}").alias(f"spouse1{s}") for s in ("_id", "_name", "_surname")],
+        *[F.col(f"_2._{s}").alias(f"spouse2{s}") for s in ("_id", "_name", "_surname", "_maiden_name")],
     )
 
 
-def _family_children(families: DataFrame, children: DataFrame) -> DataFrame:
-    rows = families.select("file_id", "record_no", "husband", "wife")
-    return assign_batch(skew_join(children, rows, ["file_id", "record_no"]))
+def build_parent_links(children: DataFrame, persons: DataFrame) -> DataFrame:
+    """(id, father_id, mother_id); the first family that knows a parent sets it.
 
-
-def build_parent_links(families: DataFrame, children: DataFrame, persons: DataFrame) -> DataFrame:
-    """(id, father_id, mother_id); the first family that knows a parent sets it."""
-    rows = _family_children(families, children)
-    rows = resolve_xref(rows, persons, "child", "child", [("id", "_id")]).where(F.col("child_id").isNotNull())
-    rows = resolve_xref(rows, persons, "husband", "father", [("id", "_id")])
-    rows = resolve_xref(rows, persons, "wife", "mother", [("id", "_id")])
+    ``children`` come from ``children_of_families``. A line asks for child, father and mother at once, so persons are read and joined once.
+    """
+    rows = assign_batch(children.where(F.col("xref").isNotNull()))
+    asked = rows.select(
+        "source_batch_id", "record_no", "line_no",
+        F.inline(F.array(*[F.struct(F.lit(r).alias("_role"), F.col(c).alias("_xref")) for r, c in (("c", "child"), ("f", "husband"), ("m", "wife"))])),
+    ).where(F.col("_xref").isNotNull())
+    known = persons.select("source_batch_id", F.col("gedcom_id").alias("_xref"), F.col("id").alias("_id"))
+    found = skew_join(asked, known, ["source_batch_id", "_xref"])
+    lines = found.groupBy("source_batch_id", "record_no", "line_no").agg(
+        *[F.max(F.when(F.col("_role") == r, F.col("_id"))).alias(c) for r, c in (("c", "id"), ("f", "father_id"), ("m", "mother_id"))]
+    )
     order = F.struct("record_no", "line_no")
-    return rows.groupBy(F.col("child_id").alias("id")).agg(
+    return lines.where(F.col("id").isNotNull()).groupBy("id").agg(
         F.min_by("father_id", F.when(F.col("father_id").isNotNull(), order)).alias("father_id"),
         F.min_by("mother_id", F.when(F.col("mother_id").isNotNull(), order)).alias("mother_id"),
     )
@@ -268,7 +287,8 @@ def link_parents(persons: DataFrame, links: DataFrame) -> DataFrame:
 
 def unresolved_children(children: DataFrame, persons: DataFrame) -> DataFrame:
     known = persons.select("source_batch_id", F.col("gedcom_id").alias("child"))
-    return assign_batch(children).join(known, ["source_batch_id", "child"], "left_anti")
+    asked = assign_batch(children.select("file_id", "record_no", "line_no", "child"))
+    return asked.join(known, ["source_batch_id", "child"], "left_anti")
 
 
 def build_raw_records(individuals: DataFrame, families: DataFrame, marriages: DataFrame) -> DataFrame:
@@ -304,8 +324,14 @@ def build_raw_records(individuals: DataFrame, families: DataFrame, marriages: Da
     return indi.unionByName(fam)
 
 
+def link_rows(persons: DataFrame) -> DataFrame:
+    """(source_batch_id, id, parent_id): one row for each parent that a person has."""
+    parents = F.filter(F.array("father_id", "mother_id"), lambda p: p.isNotNull())
+    return persons.select("source_batch_id", "id", F.explode(parents).alias("parent_id"))
+
+
 def import_stats(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows per batch and table."""
+    """Rows per batch and table; links, merged rows and errors are tables like the others."""
     parts = [
         df.groupBy(F.col("source_batch_id").alias("batch_id")).count().withColumn("part", F.lit(name))
         for name, df in tables.items()

@@ -223,9 +223,9 @@ def marriages_build(spark, d):
 )
 def parent_links(spark, d):
     """Two families may name a child; the first that knows a parent sets it."""
-    tree = _tree(spark, d)
-    persons = records.person_table(records.build_persons(records.individuals_of(tree)))
-    return records.build_parent_links(records.families_of(tree), records.children_of_families(tree), persons)
+    gathered = records.gather_records(_tree(spark, d))
+    persons = records.person_table(records.build_persons(records.individuals_of(gathered)))
+    return records.build_parent_links(records.children_of_families(gathered), persons)
 
 
 @query(

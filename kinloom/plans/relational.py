@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit, changes, records, relate
+from ..operators.linkage import merge_map
+from ..session import cut_lineage
 from ..sources import objects
 from .bindings import bound, spark_sql, with_views
 from .catalog import query
+from .linkage import EXACT_SQL
 from .register import AUDITED_SQL
 
 
@@ -266,14 +269,29 @@ def candidate_stats(spark, d):
 @query(
     "import_stats",
     with_views(
-        """SELECT source_batch_id AS batch_id, count(*) FILTER (t = 'p') AS persons, count(*) FILTER (t = 'b') AS baptisms,
-                  count(*) FILTER (t = 'm') AS marriages, count(*) FILTER (t = 'd') AS deaths
+        EXACT_SQL
+        + """ SELECT source_batch_id AS batch_id, count(*) FILTER (t = 'p') AS persons, count(*) FILTER (t = 'b') AS baptisms,
+                  count(*) FILTER (t = 'm') AS marriages, count(*) FILTER (t = 'd') AS deaths, count(*) FILTER (t = 'l') AS parent_links,
+                  count(*) FILTER (t = 'x') AS merged, count(*) FILTER (t = 'e') AS errors
            FROM (SELECT source_batch_id, 'p' AS t FROM {persons} UNION ALL SELECT source_batch_id, 'b' FROM {baptisms}
-                 UNION ALL SELECT source_batch_id, 'm' FROM {marriages} UNION ALL SELECT source_batch_id, 'd' FROM {deaths}) GROUP BY 1"""
+                 UNION ALL SELECT source_batch_id, 'm' FROM {marriages} UNION ALL SELECT source_batch_id, 'd' FROM {deaths}
+                 UNION ALL SELECT source_batch_id, 'l' FROM {persons} WHERE father_id IS NOT NULL UNION ALL SELECT source_batch_id, 'l' FROM {persons} WHERE mother_id IS NOT NULL
+                 UNION ALL SELECT source_batch_id, 'x' FROM mapping JOIN {copied_persons} USING (id)
+                 UNION ALL SELECT source_batch_id, 'e' FROM {marriages} WHERE spouse2_id NOT IN (SELECT id FROM {persons})) GROUP BY 1"""
     ),
 )
 def import_stats(spark, d):
-    return records.import_stats({n: bound(spark, d, n) for n in ("persons", "baptisms", "marriages", "deaths")})
+    """Rows, parent links, merged persons, and marriages whose second spouse isn't there, per batch."""
+    tables = {n: bound(spark, d, n) for n in ("persons", "baptisms", "marriages", "deaths")}
+    copied = bound(spark, d, "copied_persons")
+    mapping = cut_lineage(merge_map(copied, "person"))
+    known = tables["persons"].select(F.col("id").alias("spouse2_id"))
+    more = {
+        "parent_links": records.link_rows(tables["persons"]),
+        "merged": copied.join(mapping.select("id"), "id", "left_semi"),
+        "errors": tables["marriages"].join(known, "spouse2_id", "left_anti"),
+    }
+    return records.import_stats({**tables, **more})
 
 
 @query(
