@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import present
 from ..functions.text import display_name
 from ..session import cut_lineage
-from .windows import first_per, hot_keys, rank_within, skew_join
+from .windows import HOT_ROWS, first_per, hot_keys, rank_within, skew_join
 
 HIDDEN_EDGES = ["BAPTIZED_IN", "DIED_IN"]
 # The properties of the three vertex labels.
@@ -264,30 +264,31 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     stars = cut_lineage(
         pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
-    last = None
+    last, rows = None, stars.count()
     while True:
-        stars = cut_lineage(_small_star(cut_lineage(_large_star(stars))))
+        many = rows > HOT_ROWS  # else no vertex can have as many edges
+        stars = cut_lineage(_small_star(cut_lineage(_large_star(stars, many)), many))
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break
-        last = state
+        last, rows = state, state[0]
     root = stars.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("_root"))
     return own.join(root, "id", "left").select("id", F.coalesce("_root", "id").alias("component"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, many: bool) -> DataFrame:
     """Larger neighbours of a vertex move to its smallest neighbour (or itself)."""
     both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     larger = both.where("v > u")
-    moved = skew_join(larger, least, ["u"], hot=hot_keys(larger, ["u"])).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = skew_join(larger, least, ["u"], hot=hot_keys(larger, ["u"]) if many else None).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, many: bool) -> DataFrame:
     """Smaller neighbours of a vertex, and the vertex, move to the smallest of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = skew_join(edges, least, ["u"], hot=hot_keys(edges, ["u"])).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = skew_join(edges, least, ["u"], hot=hot_keys(edges, ["u"]) if many else None).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
