@@ -190,13 +190,14 @@ def chain_segments(segments: DataFrame) -> DataFrame:
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            costs, orders = [], []
+            costs, orders, audits = [], [], []
             for codes, alone in zip(batch["codes"], batch["alone"]):
                 found = segment_table(codes, (0,) if alone else (0, 1, 2, 3))
                 ranks = {a: n for n, a in enumerate(sorted({a for _, a in found.values()}))}
                 costs.append([found[s, g][0] if (s, g) in found else -1 for s in range(4) for g in range(4)])
                 orders.append([ranks[found[s, g][1]] if (s, g) in found else -1 for s in range(4) for g in range(4)])
-            yield batch.assign(costs=costs, orders=orders)
+                audits.append([found[s, g][1] if (s, g) in found else None for s in range(4) for g in range(4)])
+            yield batch.assign(costs=costs, orders=orders, audits=audits)
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, ways, back, rows = None, {}, [], []
@@ -208,9 +209,8 @@ def chain_segments(segments: DataFrame) -> DataFrame:
                 ends.append((step[state], state))
                 state = step[state]
             out = []
-            for n, ((part, first, codes, alone), (start, end)) in enumerate(zip(rows, reversed(ends))):
-                audit = segment_table(codes, (0,) if alone else (0, 1, 2, 3))[start, end][1]
-                edits = with_roles(audit, codes, start)
+            for n, ((part, first, codes, audits), (start, end)) in enumerate(zip(rows, reversed(ends))):
+                edits = with_roles(audits[4 * start + end], codes, start)
                 if n == len(rows) - 1:
                     state = end
                     for _ in CLOSING[end]:
@@ -220,7 +220,7 @@ def chain_segments(segments: DataFrame) -> DataFrame:
             return pd.DataFrame(out, columns=["_key", "part", "first", "edits"])
 
         for batch in batches:
-            for key, part, first, codes, alone, costs, orders in batch.itertuples(index=False, name=None):
+            for key, part, first, codes, _, costs, orders, audits in batch.itertuples(index=False, name=None):
                 if key != current:
                     if rows:
                         yield done()
@@ -236,7 +236,7 @@ def chain_segments(segments: DataFrame) -> DataFrame:
                 ranks = {r: n for n, r in enumerate(sorted(w[1] for w in reached.values()))}
                 ways = {g: (cost, ranks[r]) for g, (cost, r, _) in reached.items()}
                 back.append({g: w[2] for g, w in reached.items()})
-                rows.append((part, first, codes, alone))
+                rows.append((part, first, codes, audits))
         if rows:
             yield done()
 
@@ -245,7 +245,7 @@ def chain_segments(segments: DataFrame) -> DataFrame:
     tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the rows are few bytes but much work: a stated number of tasks isn't made smaller
     given = segments.join(counted, "_key").select(*columns).repartition(tasks, "_key", "part", "first")
-    kinds = "_key string, part int, first long, codes string, alone boolean, costs array<long>, orders array<int>"
+    kinds = "_key string, part int, first long, codes string, alone boolean, costs array<long>, orders array<int>, audits array<string>"
     searched = given.mapInPandas(search, kinds).repartition("_key").sortWithinPartitions("_key", "part", "first")
     return searched.mapInPandas(chain, "_key string, part int, first long, edits array<string>")
 
