@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import re
+import json
+import sys
 import unicodedata
 from functools import lru_cache
+from string import ascii_uppercase
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .text import SLAVIC_DROPPED, SLAVIC_MULTI, SLAVIC_SINGLE
+from .vectors import bind
 
 CODE_LENGTH = 6
 VOWELS = "AEIJOUY"
@@ -97,8 +98,16 @@ def _rules() -> dict[str, list[list[str]]]:
     return table
 
 
-_TABLE = _rules()
-_SOUND = re.compile("|".join(sorted(_TABLE, key=len, reverse=True)))
+def _longest_first(spellings: list[str]) -> str:
+    """A pattern of the longest spelling at a place, told apart by the first letter."""
+    tails = {}
+    for spelling in sorted(spellings, key=len, reverse=True):
+        tails.setdefault(spelling[0], []).append(spelling[1:])
+    return "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in sorted(tails.items()))
+
+
+RULES = _rules()
+LONGEST_FIRST = _longest_first(list(RULES))
 _FOLD = str.maketrans(
     {a: b for src, dst in SLAVIC_SINGLE for a, b in zip(src, dst)}
     | {c: "" for c in SLAVIC_DROPPED}
@@ -106,37 +115,79 @@ _FOLD = str.maketrans(
 )
 
 
-@lru_cache(maxsize=50_000)
-def sound_codes(name: str) -> list[str]:
-    """Sorted codes of one name; a helper for one column value inside a task."""
-    folded = name.translate(_FOLD).strip()
-    if not folded:
-        return []
-    word = unicodedata.normalize("NFKD", folded.upper()).replace("ß", "SS")
-    word = "".join(c for c in word if "A" <= c <= "Z")
-    # Each reading is its code so far and the last sound heard, which hides a repeat.
-    readings = {("", "")}
-    for sound in _SOUND.finditer(word):
-        after = word[sound.end() : sound.end() + 1]
-        place = 0 if sound.start() == 0 else 1 if after and after in VOWELS else 2
-        grown = set()
-        for code, last in readings:
-            for addition in _TABLE[sound.group()][place]:
-                longer, heard = code, last
-                for digit in addition:
-                    if digit != heard and digit != "-":
-                        longer += digit
-                    heard = digit
-                grown.add((longer[:CODE_LENGTH], heard))
-        readings = grown
-    return sorted({code.ljust(CODE_LENGTH, "0") for code, _ in readings})
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def phonetic_codes(names: pd.Series) -> pd.Series:
-    """Codes of a name column; every batch encodes each distinct name once."""
-    known = {n: sound_codes(n) for n in names.dropna().unique() if n}
-    return names.map(lambda n: known.get(n, []) if n is not None else [])
+@lru_cache(maxsize=1)
+def letter_forms() -> dict[str, str]:
+    """A-Z form of each character beyond ASCII that has one: Slavic letters by their
+    table, all others by capital form and compatibility decomposition."""
+    forms = {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        capital = unicodedata.normalize("NFKD", c.translate(_FOLD).upper())
+        letters = "".join(x for x in capital if "A" <= x <= "Z")
+        if letters:
+            forms[c] = letters
+    return forms
+
+
+@lru_cache(maxsize=1)
+def _blank() -> str:
+    """A name of nothing but white space and signs that the Slavic table drops."""
+    spaces = "".join(f"\\x{{{n:x}}}" for n in range(sys.maxunicode + 1) if chr(n).isspace())
+    return f"^[{spaces}{SLAVIC_DROPPED}]*$"
+
+
+def _letters(name: Column) -> Column:
+    """Letters A-Z of a name; only names beyond ASCII are taken apart."""
+    forms = F.str_to_map(F.lit("\n".join(f"{c}={a}" for c, a in letter_forms().items())), F.lit("\n"), F.lit("="))
+    plain = lambda c: F.when(c.rlike("^[A-Za-z]"), c).otherwise("")
+    spelled = F.transform(F.regexp_extract_all(name, F.lit("(?s)."), 0), lambda c: F.coalesce(forms[c], plain(c)))
+    ascii_form = F.when(name.rlike(r"[^\x00-\x7F]"), F.array_join(spelled, "")).otherwise(name)
+    return F.regexp_replace(F.upper(ascii_form), "[^A-Z]", "")
+
+
+def _joined(code: Column, addition: Column) -> Column:
+    """An open code with the digits of one more sound.
+
+    ``-`` stands for a sound without a digit. It stays only where it matters, between
+    two equal digits and at the end, so that readings that will go on alike are equal
+    texts. Equal neighbours count once; six digits close a code.
+    """
+    longer = F.regexp_replace(F.concat(code, addition), r"(.)\1+", "$1")
+    needed = F.regexp_replace(longer, r"^-|(?<=(\d))-(?=\d)(?!\1)", "")
+    pruned = F.when(F.contains(code, F.lit("-")) | F.contains(addition, F.lit("-")), needed).otherwise(longer)
+    six_digits = F.regexp_replace(pruned, rf"^(\d(?:-?\d){{{CODE_LENGTH - 1}}}).*$", "$1")
+    return F.when(F.length(code) + F.length(addition) > CODE_LENGTH, six_digits).otherwise(pruned)
+
+
+def phonetic_codes(name: Column | str) -> Column:
+    """Sorted codes of a name; an empty array for null and blank names.
+
+    The rule table is a machine over the sounds of the name, whose state is the set of
+    open codes. A name without a letter A-Z has the code of zeros.
+    """
+    name = F.col(name) if isinstance(name, str) else name
+    lettered = [{s: places for s, places in RULES.items() if s[0] == letter} for letter in ascii_uppercase]
+    rules = F.from_json(F.lit(json.dumps(lettered)), "array<map<string,array<array<string>>>>")
+
+    def additions(sounds: Column) -> Column:
+        def at(sound: Column, i: Column) -> Column:
+            before_vowel = F.coalesce(F.get(sounds, i + 1), F.lit("")).rlike(f"^[{VOWELS}]")
+            own = F.get(rules, F.ascii(sound) - ord("A"))
+            return F.get(own[sound], F.when(i == 0, 0).when(before_vowel, 1).otherwise(2))
+
+        return F.transform(sounds, at)
+
+    def step(codes: Column, choices: Column) -> Column:
+        grown = F.transform(codes, lambda code: F.transform(choices, lambda a: _joined(code, a)))
+        return F.array_distinct(F.flatten(grown))
+
+    def closed(codes: Column) -> Column:
+        digits = F.transform(codes, lambda code: F.rpad(F.replace(code, F.lit("-"), F.lit("")), CODE_LENGTH, "0"))
+        return F.array_sort(F.array_distinct(digits))
+
+    sounds = F.regexp_extract_all(_letters(name), F.lit(f"({LONGEST_FIRST})"), 1)
+    start = F.array(F.lit(""))
+    codes = bind(sounds, lambda s: F.aggregate(additions(s), start, step, closed))
+    return F.when(name.isNull() | name.rlike(_blank()), F.array().cast("array<string>")).otherwise(codes)
 
 
 def phonetic_dim(df: DataFrame, *name_columns: str) -> DataFrame:
@@ -144,7 +195,3 @@ def phonetic_dim(df: DataFrame, *name_columns: str) -> DataFrame:
     names = df.select(F.explode(F.array(*[F.col(c) for c in name_columns])).alias("name"))
     named = names.where((F.col("name") != "") & F.col("name").isNotNull()).distinct()
     return named.select("name", phonetic_codes("name").alias("codes"))
-
-
-def name_codes(name: Column) -> Column:
-    return phonetic_codes(F.coalesce(name, F.lit("")))

@@ -94,7 +94,44 @@ def slavic_fold(spark, d):
     return bound(spark, d, "documents").select("doc_id", text.fold_slavic(F.col("text")).alias("folded"))
 
 
-@query("phonetic_codes")
+def _sound_rules_sql() -> str:
+    """Rows (spelling, place, addition) of the published table."""
+    rows = [
+        f"('{spelling}', {place}, '{addition}')"
+        for spelling, places in phonetic.RULES.items()
+        for place, additions in enumerate(places)
+        for addition in additions
+    ]
+    return ", ".join(rows)
+
+
+def sound_codes_sql(names: str) -> str:
+    """(name, codes) of the query ``names``: sounds are walked first, then single digits."""
+    word = f"regexp_replace(upper(strip_accents(replace({_slavic_sql('name')}, 'ß', 'ss'))), '[^A-Z]', '', 'g')"
+    return f"""
+    WITH RECURSIVE rules(spelling, place, addition) AS (VALUES {_sound_rules_sql()}),
+    walk(name, begun, rest, raw) AS (
+        SELECT name, false, {word}, '' FROM ({names})
+        UNION
+        SELECT name, true, substr(rest, length(sound) + 1), raw || addition
+        FROM (SELECT *, regexp_extract(rest, '^({phonetic.LONGEST_FIRST})', 1) AS sound FROM walk WHERE rest <> '') w
+        JOIN rules ON spelling = sound AND place = CASE WHEN NOT begun THEN 0
+            WHEN regexp_matches(substr(rest, length(sound) + 1), '^[{phonetic.VOWELS}]') THEN 1 ELSE 2 END),
+    digits(name, raw, code, heard) AS (
+        SELECT name, raw, '', '' FROM walk WHERE rest = ''
+        UNION
+        SELECT name, substr(raw, 2), CASE WHEN raw[1] IN (heard, '-') THEN code ELSE left(code || raw[1], {phonetic.CODE_LENGTH}) END, raw[1]
+        FROM digits WHERE raw <> '')
+    SELECT name, array_to_string(list_sort(list(DISTINCT rpad(code, {phonetic.CODE_LENGTH}, '0'))), ',') AS codes
+    FROM digits WHERE raw = '' GROUP BY name"""
+
+
+@query(
+    "phonetic_codes",
+    sound_codes_sql(
+        r"SELECT DISTINCT name FROM (SELECT unnest(regexp_split_to_array(text, '\P{L}+')) AS name FROM documents) WHERE name <> ''"
+    ),
+)
 def phonetic_codes(spark, d):
     """Sound codes of every word of every document, once per distinct word."""
     words = bound(spark, d, "documents").select(F.explode(F.split("text", r"\P{L}+")).alias("name"))
