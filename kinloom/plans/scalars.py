@@ -431,16 +431,80 @@ def person_features(spark, d):
     )
 
 
-@query("record_vectors")
+def _place_sql(column: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(lower(coalesce({column}, '')), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g'))"
+
+
+def _record_sql(kind: str, names: list[str], birth: str, death: str, age: str, places: list[str], view: str) -> str:
+    first, second, third = (names + ["NULL"] * 3)[:3]
+    return f"""SELECT '{kind}' AS kind, id, {first} AS name1, {second} AS name2, {third} AS name3, {birth} AS b, {death} AS e, {age} AS a,
+           list_filter([{', '.join(map(_place_sql, places))}], lambda p: p <> '') AS places FROM {{{view}}}"""
+
+
+_RECORDS_SQL = " UNION ALL ".join(
+    [
+        _record_sql("person", ["first_name", "last_name", "maiden_name"], "year(birth_date)", "year(death_date)",
+                    "year(death_date) - year(birth_date)", ["birth_place", "death_place", "parish", "residence"], "persons"),
+        _record_sql("baptism", [], "coalesce(year(birth_date), year(baptism_date))", "NULL", "NULL", ["parish", "village"], "baptisms"),
+        _record_sql("marriage", [], "year(marriage_date)", "NULL", "NULL", ["parish", "village"], "marriages"),
+        _record_sql("death", ["deceased_name", "deceased_surname"], "NULL", "year(death_date)", "NULL",
+                    ["parish", "village", "cemetery"], "deaths"),
+    ]
+)
+
+
+def _turned_sql(step: str) -> str:
+    return f"coalesce(list_sum(list_transform(places, lambda p: ({_byte('p', 'dim % 16')} + ({step}) * 37) % 256)), 0)"
+
+
+_NAMES_SQL = "SELECT DISTINCT unnest([name1, name2, name3]) AS name FROM records"
+
+
+@query(
+    "record_vectors",
+    with_views(
+        f"""
+    WITH records AS ({_RECORDS_SQL}),
+    named AS (SELECT name, string_split(codes, ',') AS codes FROM ({sound_codes_sql(f"SELECT name FROM ({_NAMES_SQL}) WHERE name <> ''")})),
+    coded AS (
+        SELECT r.*, list_concat(coalesce(x.codes, []), coalesce(y.codes, []), coalesce(z.codes, [])) AS codes
+        FROM records r LEFT JOIN named x ON x.name = name1 LEFT JOIN named y ON y.name = name2 LEFT JOIN named z ON z.name = name3),
+    vectors AS (
+        SELECT kind, id, codes, list_concat(
+            list_transform(range(16), lambda i:
+                coalesce(list_sum(list_transform(codes, lambda w: {_byte('w', 'i')})), 0)::DOUBLE / 255 / greatest(len(codes), 1)),
+            list_transform(range(48), lambda i: 0::DOUBLE),
+            [{_TEMPORAL_SQL}],
+            list_transform(range(48), lambda dim:
+                ({_turned_sql('dim // 16')} + CASE WHEN dim < 32 THEN {_turned_sql('dim // 16 + 3')} ELSE 0 END)::DOUBLE
+                / 255 / greatest(len(places), 1))) AS v
+        FROM coded),
+    sized AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM vectors)
+    SELECT kind, id, array_to_string(codes, ',') AS codes, CAST(len(v) AS INTEGER) AS dims,
+           array_to_string(list_transform(v, lambda x:
+               CAST(round(CAST(x / CASE WHEN n < 1e-10 THEN 1 ELSE n END AS FLOAT)::DOUBLE * 1000000) AS BIGINT)), ' ') AS millionths
+    FROM sized"""
+    ),
+)
 def record_vectors(spark, d):
-    """Name codes and the stored vector of every person."""
-    out = features.with_embedding(bound(spark, d, "persons"), "person")
-    return out.select(
-        "id",
-        F.array_join("last_name_codes", ",").alias("last_codes"),
-        F.size("embedding").alias("dims"),
-        F.round(vectors.norm(F.col("embedding")), 4).alias("length"),
-    )
+    """Name codes and all 128 numbers of the stored vector of every person, baptism, marriage and death."""
+
+    def of_kind(kind: str, view: str):
+        out = features.with_embedding(bound(spark, d, view), kind)
+        coded = [F.col(f"{c}_codes") for c in features.PHONETIC[kind] if f"{c}_codes" in out.columns]
+        return out.select(
+            F.lit(kind).alias("kind"),
+            "id",
+            F.array_join(F.concat(*coded, F.array().cast("array<string>")), ",").alias("codes"),
+            F.size("embedding").alias("dims"),
+            F.array_join(
+                F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("bigint").cast("string")), " "
+            ).alias("millionths"),
+        )
+
+    kinds = {"person": "persons", "baptism": "baptisms", "marriage": "marriages", "death": "deaths"}
+    person, baptism, marriage, death = (of_kind(kind, view) for kind, view in kinds.items())
+    return person.unionByName(baptism).unionByName(marriage).unionByName(death)
 
 
 # ---- keys and metadata ----------------------------------------------------
