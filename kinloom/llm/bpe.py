@@ -25,7 +25,7 @@ from .registry import query
 from .words import Ranks, frequent_words
 
 HEAD = 1 << 19  # frequent words that are broadcast, of at most 64 bytes
-WIDE = 0xFFFF  # code of a word whose rank doesn't fit 16 bits; the rank follows at the end
+PART = 4096  # words whose bits are taken apart at once
 SALTS = 16  # parts of a word that is too long for the head
 ROWS = 512  # texts whose ids are in a Python batch at once
 
@@ -41,22 +41,35 @@ def encode_words(json_text: str, words: list[bytes], unit: str) -> list[bytes]:
 
 
 def pack_codes(codes: np.ndarray) -> bytes:
-    """Ranks of a text's words (-1: not a frequent one), high and low bytes apart, compressed."""
-    shifted = codes.astype(np.int64) + 1
-    low = np.minimum(shifted, WIDE).astype("<u2")
-    planes = low.view(np.uint8).reshape(-1, 2).T.tobytes()
-    wide = shifted[shifted >= WIDE].astype("<u4").tobytes()
-    body = pa.compress(planes + wide, codec="zstd", asbytes=True)
-    return np.array([len(codes), len(planes) + len(wide)], dtype="<u4").tobytes() + body
+    """Ranks of a text's words (-1: not a frequent one), each as its number of bits, then the bits below the highest.
+
+    The numbers of bits are compressed; the bits themselves are near random, so they are
+    only put together. Frequent words so take few bits.
+    """
+    widths, bits = np.empty(len(codes), np.uint8), []
+    for part in slices(len(codes), PART):
+        value = codes[part].astype(np.uint32) + np.uint32(2)
+        widths[part] = np.frexp(value.astype(np.float64))[1] - 1
+        places = np.arange(widths[part].max(), dtype=np.uint32)
+        bits.append((value[:, None] >> places & 1).astype(np.uint8)[widths[part, None] > places])
+    body = pa.compress(widths.tobytes(), codec="zstd", asbytes=True)
+    low = np.packbits(np.concatenate(bits)).tobytes() if bits else b""
+    return np.array([len(codes), len(body)], dtype="<u4").tobytes() + body + low
 
 
 def unpack_codes(packed: bytes) -> np.ndarray:
     n, size = (int(x) for x in np.frombuffer(packed[:8], "<u4"))
-    body = pa.decompress(packed[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
-    planes = np.frombuffer(body[: 2 * n], np.uint8).reshape(2, -1)
-    codes = planes[0].astype(np.int64) | planes[1].astype(np.int64) << 8
-    codes[codes == WIDE] = np.frombuffer(body[2 * n :], "<u4")
-    return codes - 1
+    widths = np.frombuffer(pa.decompress(packed[8 : 8 + size], decompressed_size=n, codec="zstd", asbytes=True) if n else b"", np.uint8)
+    bits = np.unpackbits(np.frombuffer(packed[8 + size :], np.uint8))
+    codes, at = np.empty(n, np.int64), 0
+    for part in slices(n, PART):
+        places = np.arange(widths[part].max())
+        inside = widths[part, None] > places
+        value, stop = np.zeros(inside.shape, np.int64), at + int(inside.sum())
+        value[inside] = bits[at:stop]
+        codes[part] = (value << places).sum(axis=1) + (1 << widths[part].astype(np.int64)) - 2
+        at = stop
+    return codes
 
 
 def head_table(spark: SparkSession, data: DataFrame, vocabulary, most: int, unit: str) -> tuple[object, str]:

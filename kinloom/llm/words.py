@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -65,5 +66,5 @@ class Ranks:
         self.place = {w: i for i, w in enumerate(words.split())}
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.array([-1 if i is None else i for i in map(self.place.get, words)], dtype=np.int32)
+        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
 
