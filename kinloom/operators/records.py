@@ -12,6 +12,7 @@ from .windows import first_per, running_sum, skew_join
 
 LINE = r"^\s*\uFEFF?(\d+)\s+(?:(@[^@]+@)\s+)?(\w+)(?: (.*))?$"
 LINES_PER_CHUNK = 50_000
+LEVELS_AT_ONCE = 12
 
 
 def record_id(*parts) -> Column:
@@ -39,14 +40,40 @@ def lines_of_text(df: DataFrame, file_id: str, text: str) -> DataFrame:
 def assemble_records(lines: DataFrame, lines_per_chunk: int = LINES_PER_CHUNK) -> DataFrame:
     """Add ``record_no`` (per level-0 line) and ``parent_line`` (line number, null at level 0).
 
-    The record number is a running sum in chunks of lines, so a huge file is not one
-    task. A line's parent is the last earlier line of its record one level up. The lines
-    are written first, as the running sum reads them twice and parsing them costs most.
+    Both are worked out in chunks of lines, so a huge file is not one task. A line's parent is the last
+    earlier line of its record one level up. The lines are written first, as they are read for
+    the chunks' totals too and parsing them costs most.
     """
     lines = cut_lineage(lines.where(F.col("level").isNotNull()))
-    starts = (F.col("level") == 0).cast("int")
+    deepest = lines.agg(F.max("level")).first()[0] or 0
     chunk = F.floor(F.col("line_no") / lines_per_chunk)
-    numbered = running_sum(lines, ["file_id"], chunk, [F.asc("line_no")], starts, "record_no")
+    if deepest > LEVELS_AT_ONCE:
+        return _parents_by_level(running_sum(lines, ["file_id"], chunk, [F.asc("line_no")], (F.col("level") == 0).cast("int"), "record_no"))
+
+    # The records begun, and the last line of each level, up to a line: inside its chunk and in those before.
+    starts = F.sum((F.col("level") == 0).cast("long"))
+    last = [F.max(F.when(F.col("level") == n, F.col("line_no"))) for n in range(deepest + 1)]
+    inside = Window.partitionBy("file_id", "_chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chunked = lines.withColumn("_chunk", chunk)
+    rows = chunked.withColumns({"_starts": starts.over(inside), **{f"_last{n}": c.over(inside) for n, c in enumerate(last)}})
+    before = Window.partitionBy("file_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = chunked.groupBy("file_id", "_chunk").agg(starts.alias("_s"), *[c.alias(f"_l{n}") for n, c in enumerate(last)])
+    totals = totals.select(
+        "file_id", "_chunk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s"),
+        *[F.max(f"_l{n}").over(before).alias(f"_l{n}") for n in range(deepest + 1)],
+    )
+    at = [F.greatest(f"_last{n}", f"_l{n}") for n in range(deepest + 1)]  # without nulls
+    above = F.get(F.array(*at), F.col("level") - 1)
+    joined = rows.join(totals, ["file_id", "_chunk"])
+    return joined.select(
+        *lines.columns,
+        (F.col("_starts") + F.col("_s")).alias("record_no"),
+        F.when((F.col("level") > 0) & (above >= F.coalesce(at[0], above)), above).alias("parent_line"),
+    )
+
+
+def _parents_by_level(numbered: DataFrame) -> DataFrame:
+    """``parent_line`` whatever the levels: a line is offered to the level below and asks the one above."""
     roles = F.array(
         F.struct(F.col("level").alias("at"), F.lit(True).alias("offers")),
         F.struct((F.col("level") - 1).alias("at"), F.lit(False).alias("offers")),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import detect_charset, normalize_record_text
 from ..operators import documents, records, validate
+from ..session import spread
 from .bindings import MONTHS_SQL, bound, spark_sql, with_views
 from .catalog import query
 from .importing import tables_of_records
@@ -62,7 +63,7 @@ LINES_SQL = f"""
 
 
 def _lines(spark, d):
-    raw = spark_sql(spark, d, LINES)
+    raw = spark.sql(LINES, persons=spread(bound(spark, d, "persons"), "id"))
     return raw.select("file_id", "line_no", *records.split_line(F.col("line")))
 
 
