@@ -7,6 +7,8 @@ each position is predicted once, from STRIDE to 2 * STRIDE - 1 earlier ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 STRIDE = 16
@@ -59,6 +61,11 @@ class Attention:
         self.ages = np.linspace(0, -1, SPAN).astype(np.float32)
         self.w, self.b = table(HIDDEN, classes, 0.1), np.zeros(classes, np.float32)
 
+    def copy(self) -> Attention:
+        other = object.__new__(Attention)
+        other.__dict__ = {name: value.copy() for name, value in self.__dict__.items()}
+        return other
+
     def forward(self, now: np.ndarray, before: np.ndarray, opening: np.ndarray, bounded: bool = False):
         """Hidden states of a batch of blocks and what the gradient needs; ``bounded``: no weight's exp can overflow."""
         both = np.concatenate((before, now), axis=1)
@@ -75,19 +82,31 @@ class Attention:
         hidden = np.tanh(scores @ v + np.take(self.r, now, axis=0))
         return hidden, (both, q, k, v, scores)
 
+    def bounded(self) -> bool:
+        """Whether no weight's exp can overflow."""
+        longest_q, longest_k = (float(np.sqrt((t * t).sum(axis=1).max())) for t in (self.q, self.k))
+        return longest_q * longest_k * KEY**-0.5 + float(np.abs(self.ages).max()) < 40
+
+    def small(self) -> bool:
+        """Whether no class's exp can overflow; hidden states are within -1 and 1."""
+        return float((np.abs(self.w).sum(axis=0) + np.abs(self.b)).max()) < 80
+
     def train(self, now, before, opening, classes, rates: dict, rate: float) -> float:
         """One step of Adagrad on a batch; cells whose class is -1 don't count. Returns the mean loss."""
-        hidden, (both, q, k, v, p) = self.forward(now, before, opening)
+        hidden, (both, q, k, v, p) = self.forward(now, before, opening, self.bounded())
         flat, wanted = hidden.reshape(-1, HIDDEN), classes.reshape(-1)
         real = np.flatnonzero(wanted >= 0)
-        logits = flat[real] @ self.w + self.b
-        logits -= logits.max(axis=1, keepdims=True)
+        some = flat[real]
+        logits = some @ self.w
+        logits += self.b
+        if not self.small():
+            logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        chosen = logits[np.arange(len(real)), wanted[real]]
-        loss = float(-np.log(np.maximum(chosen, 1e-12)).mean())
-        logits[np.arange(len(real)), wanted[real]] -= 1
-        logits /= len(real)
+        at = (np.arange(len(real)), wanted[real])
+        total = logits.sum(axis=1)
+        loss = float(-np.log(np.maximum(logits[at] / total, 1e-12)).mean())
+        logits *= (1 / (total * np.float32(len(real))))[:, None]
+        logits[at] -= np.float32(1 / len(real))
         d_flat = np.zeros_like(flat)
         d_flat[real] = logits @ self.w.T
         d_pre = (d_flat * (1 - flat**2)).reshape(hidden.shape)
@@ -98,41 +117,43 @@ class Attention:
         d_age = np.bincount(age[~future], d_s.sum(axis=0)[~future], SPAN).astype(np.float32)
         d_s *= np.float32(KEY**-0.5)
         d_q, d_k = d_s @ k, d_s.transpose(0, 2, 1) @ q
-        dense = {"w": flat[real].T @ logits, "b": logits.sum(axis=0), "ages": d_age}
+        dense = {"w": some.T @ logits, "b": logits.sum(axis=0), "ages": d_age}
         for name, grad in dense.items():
             rates[name] += grad**2
             value = getattr(self, name)
             value -= rate * grad / np.sqrt(rates[name])
-        for name, at, grad in (("q", now, d_q), ("k", both, d_k), ("v", both, d_v), ("r", now, d_pre)):
+        for names, at, grads in (("qr", now, (d_q, d_pre)), ("kv", both, (d_k, d_v))):
             ids = at.reshape(-1)
-            order = np.argsort(ids, kind="stable")
-            touched, starts = np.unique(ids[order], return_index=True)
-            total = np.add.reduceat(grad.reshape(len(ids), -1)[order], starts, axis=0)
-            rates[name][touched] += total**2
-            getattr(self, name)[touched] -= rate * total / np.sqrt(rates[name][touched])
+            order = np.argsort(ids.astype(np.int16), kind="stable")  # slots are few; short integers are sorted by their digits
+            ordered = ids[order]
+            starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+            touched = ordered[starts]
+            for name, grad in zip(names, grads):
+                total = np.add.reduceat(grad.reshape(len(ids), -1)[order], starts, axis=0)
+                seen = rates[name][touched] + total**2
+                rates[name][touched] = seen
+                getattr(self, name)[touched] -= rate * total / np.sqrt(seen)
         return loss
 
     def log_probabilities(self, now, before, opening, classes) -> np.ndarray:
         """Natural log probability of the wanted class of every cell, 0 where it is -1."""
         out = np.zeros(now.shape, np.float64)
-        longest_q, longest_k = (float(np.linalg.norm(t, axis=1).max()) for t in (self.q, self.k))
-        bounded = longest_q * longest_k * KEY**-0.5 + float(np.abs(self.ages).max()) < 40
-        small = float((np.abs(self.w).sum(axis=0) + np.abs(self.b)).max()) < 80  # hidden states are within -1 and 1
+        bounded, small = self.bounded(), self.small()
         odds = np.exp(self.b) if small else np.ones_like(self.b)
         for at in range(0, len(now), CHUNK):
             part = slice(at, at + CHUNK)
             hidden, _ = self.forward(now[part], before[part], opening[part], bounded)
+            # Padding goes along: a block's rows then lie alike in every product, so equal texts get equal sums.
             flat, wanted = hidden.reshape(-1, HIDDEN), classes[part].reshape(-1)
-            real = np.flatnonzero(wanted >= 0)
-            logits = flat[real] @ self.w
+            logits = flat @ self.w
             if not small:  # else exp can't overflow, and the bias is a factor after it
                 logits += self.b
                 logits -= logits.max(axis=1, keepdims=True)
-            chosen = logits[np.arange(len(real)), wanted[real]]
+            chosen = logits[np.arange(len(wanted)), wanted]
             if small:
-                chosen += self.b[wanted[real]]
+                chosen += self.b[wanted]
             np.exp(logits, out=logits)
-            out[part].reshape(-1)[real] = chosen - np.log(logits @ odds)
+            out[part] = np.where(wanted < 0, 0.0, chosen - np.log(logits @ odds)).reshape(-1, STRIDE)
         return out
 
 
@@ -141,14 +162,32 @@ def previous(now: np.ndarray) -> np.ndarray:
     return np.concatenate((now[:1], now[:-1]))
 
 
-def group_ids(ids: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
-    """Class of each of ``size`` ids and of the end (at ``size``).
+def contexts(ids: np.ndarray, lengths: np.ndarray, common: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, their sums, moments): the shares of the common ids in a text, summed over the occurrences of each id, and
+    their number, sum and sum of squares over the texts. They add up over parts of a corpus."""
+    texts, width = len(lengths), len(common)
+    place = np.full(size, -1)
+    place[common] = np.arange(width)
+    text_of, at = np.repeat(np.arange(texts), lengths), place[ids]
+    shares = np.bincount(text_of[at >= 0] * width + at[at >= 0], minlength=texts * width).reshape(texts, width)
+    shares = shares / np.maximum(lengths[:, None], 1)
+    moments = np.concatenate(([texts], shares.sum(axis=0), (shares**2).sum(axis=0)))
+    if not len(ids):
+        return np.zeros(0, np.int64), np.zeros((0, width)), moments
+    pairs, times = np.unique(ids.astype(np.int64) * texts + text_of, return_counts=True)
+    owner = pairs // texts
+    starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    return owner[starts], np.add.reduceat(shares[pairs % texts] * times[:, None], starts, axis=0), moments
+
+
+def classes_of(counts: np.ndarray, sums: np.ndarray, moments: np.ndarray) -> np.ndarray:
+    """Class of each id and of the end (the last), from the counts of ids and the sums of ``contexts``.
 
     The most frequent ids have a class of their own. The others are grouped by the texts
     they occur in (k-means over the shares of frequent ids), so that ids of one language
     tend to share a class; ids that were not seen share the last class.
     """
-    counts = np.bincount(ids, minlength=size)
+    size, width = sums.shape
     ranked = np.argsort(-counts, kind="stable")
     classes = np.full(size + 1, CLASSES - 1, np.int32)
     alone = ranked[:ALONE][counts[ranked[:ALONE]] > 0]
@@ -158,21 +197,9 @@ def group_ids(ids: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
     groups = CLASSES - ALONE - 2
     if not len(rest):
         return classes
-    text_of = np.repeat(np.arange(len(lengths)), lengths)
-    common = ranked[:64]
-    place = np.full(size, -1)
-    place[common] = np.arange(len(common))
-    kept = place[ids] >= 0
-    shares = np.zeros((len(lengths), len(common)))
-    np.add.at(shares, (text_of[kept], place[ids[kept]]), 1)
-    shares /= np.maximum(lengths[:, None], 1)
-    shares = (shares - shares.mean(axis=0)) / (shares.std(axis=0) + 1e-9)
-    number = np.full(size, -1)
-    number[rest] = np.arange(len(rest))
-    mine = number[ids] >= 0
-    points = np.zeros((len(rest), len(common)))
-    np.add.at(points, number[ids[mine]], shares[text_of[mine]])
-    points /= counts[rest][:, None]
+    mean, square = moments[1 : width + 1] / moments[0], moments[width + 1 :] / moments[0]
+    spread = np.sqrt(np.maximum(square - mean**2, 0))
+    points = (sums[rest] / counts[rest][:, None] - mean) / (spread + 1e-9)
     weight = np.sqrt(counts[rest])
     heavy = np.argsort(-weight, kind="stable")[: min(groups, len(rest))]
     centres = points[heavy].copy()
@@ -185,28 +212,55 @@ def group_ids(ids: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
     return classes
 
 
-def fit(ids: np.ndarray, lengths: np.ndarray, size: int, steps: int = 1500, batch: int = 64, rate: float = 0.1) -> dict:
-    """A trained model: classes of ids, input slots, parameters. ``size``: ids are below it; it stands for the end."""
-    counts = np.bincount(ids, minlength=size)
-    slot = np.full(size, INPUTS, np.int32)  # rare ids share one slot
-    common = np.argsort(-counts, kind="stable")[:INPUTS]
+def most_common(counts: np.ndarray, most: int = 64) -> np.ndarray:
+    return np.argsort(-counts, kind="stable")[:most]
+
+
+TABLES, DENSE = ("q", "k", "v", "r"), ("ages", "w", "b")
+
+
+def begin(counts: np.ndarray, classes: np.ndarray, texts: int) -> dict:
+    """An untrained model for ids of the given counts: classes of ids, input slots, parameters, steps' past."""
+    slot = np.full(len(counts), INPUTS, np.int32)  # rare ids share one slot
+    common = most_common(counts, INPUTS)
     slot[common] = np.arange(len(common))
-    classes = group_ids(ids, lengths, size)
     net = Attention(INPUTS + 2, CLASSES)  # the last slot opens a text
-    model = {"slot": slot, "classes": classes, "net": net}
-    if not len(lengths):
-        return model
-    inputs, targets, opening, _ = arrange(ids, lengths, -1, size)
-    now = np.where(inputs < 0, INPUTS + 1, slot[inputs])
-    wanted = np.where(targets < 0, -1, classes[targets])
-    seen = np.bincount(wanted[wanted >= 0], minlength=CLASSES) + 0.5
+    seen = np.bincount(classes, np.append(counts, texts), CLASSES) + 0.5
     net.b[:] = np.log(seen / seen.sum())
-    before = previous(now)
-    rates = {n: np.full_like(getattr(net, n), 1e-6) for n in ("q", "k", "v", "r", "ages", "w", "b")}
-    rng = np.random.default_rng(1)
-    for step in range(steps):
-        pick = rng.integers(0, len(now), min(batch, len(now)))
-        net.train(now[pick], before[pick], opening[pick], wanted[pick], rates, rate * (1 - 0.9 * step / steps))
+    rates = {n: np.full_like(getattr(net, n), 1e-6) for n in (*TABLES, *DENSE)}
+    return {"slot": slot, "classes": classes, "net": net, "rates": rates}
+
+
+def cells(model: dict, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(slots, slots of the block before, is first block, wanted classes) of the blocks of some texts."""
+    size = len(model["slot"])
+    inputs, targets, opening, _ = arrange(ids, lengths, -1, size)
+    now = np.where(inputs < 0, INPUTS + 1, model["slot"][inputs])
+    return now, previous(now), opening, np.where(targets < 0, -1, model["classes"][targets])
+
+
+def learn(model: dict, blocks: tuple, passes: int, rate: Callable[[float], float], rng, batch: int = 64) -> None:
+    """Steps over all the blocks, ``passes`` times, in a random order; ``rate`` of the share of them that is done."""
+    now, before, opening, wanted = blocks
+    for turn in range(passes):
+        order = rng.permutation(len(now))
+        for at in range(0, len(order), batch):
+            pick = order[at : at + batch]
+            done = (turn + at / len(order)) / passes
+            model["net"].train(now[pick], before[pick], opening[pick], wanted[pick], model["rates"], rate(done))
+
+
+def fit(ids: np.ndarray, lengths: np.ndarray, size: int, steps: int = 1500, batch: int = 64, rate: float = 0.1) -> dict:
+    """A model trained on texts held whole, for about ``steps`` steps. ``size``: ids are below it; it stands for the end."""
+    counts = np.bincount(ids, minlength=size)
+    found, some, moments = contexts(ids, lengths, most_common(counts), size)
+    sums = np.zeros((size, some.shape[1]))
+    sums[found] = some
+    model = begin(counts, classes_of(counts, sums, moments), len(lengths))
+    if len(lengths):
+        blocks = cells(model, ids, lengths)
+        passes = -(-steps * batch // len(blocks[0]))
+        learn(model, blocks, passes, lambda done: rate * (1 - 0.9 * done), np.random.default_rng(1), batch)
     return model
 
 
