@@ -24,14 +24,15 @@ def standing_confirmations(confirms: DataFrame) -> DataFrame:
     ``confirms`` has id, record_type, record1_id, record2_id and at. A confirmation
     deletes its second record, so it falls if an earlier standing one deleted either of
     its records. A round decides every confirmation whose earlier rivals are decided;
-    only the open ones are written again.
+    only the open ones are written again, and they meet those that stood in the round before:
+    the earlier ones they have met already.
     """
     names = ["record_type", "record2_id"]
     open_ = cut_lineage(confirms)
-    standing = None
+    standing = stands = None
     while not open_.isEmpty():
         first = open_.groupBy(*names).agg(F.min("at").alias("_open"))
-        gone = None if standing is None else standing.select(*names, F.col("at").alias("_gone"))
+        gone = None if stands is None else stands.select(*names, F.col("at").alias("_gone"))
         rows = open_
         for side in ("record1_id", "record2_id"):
             rows = rows.join(first.select("record_type", F.col("record2_id").alias(side), F.col("_open").alias(f"_open_{side}")), ["record_type", side], "left")
