@@ -14,9 +14,9 @@ import numpy as np
 STRIDE = 16
 SPAN = 2 * STRIDE
 KEY, HIDDEN = 16, 32
-CLASSES, ALONE = 256, 192
+CLASSES, ALONE, GROUP = 256, 192, 16
 INPUTS = 2048
-CHUNK = 64  # blocks that are scored at once, so few that they stay in the cache
+CHUNK = 128  # blocks that are scored at once, so few that they stay in the cache
 
 
 def layout(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,8 +47,28 @@ def _ages() -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(age, 0), age < 0
 
 
+AGE, LATER = _ages()
+MASK = np.where(LATER, np.float32(-1e9), np.float32(0))  # added to the scores of a query's later keys
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, which is short."""
+    return values @ np.ones(values.shape[-1], np.float32)
+
+
+def _with_one(states: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Some rows, each followed by 1."""
+    out = np.ones((len(rows), states.shape[1] + 1), np.float32)
+    out[:, :-1] = np.take(states, rows, axis=0)
+    return out
+
+
 class Attention:
-    """Parameters by input slot; predicts the class of the next id."""
+    """Parameters by input slot; predicts the class of the next id: its group, then the class in the group.
+
+    A group is GROUP classes in a row, so a position costs the groups and one group's classes, not all classes.
+    The first columns of ``w`` and ``b`` are the groups', the others the classes'.
+    """
 
     def __init__(self, slots: int, classes: int, seed: int = 0):
         rng = np.random.default_rng(seed)
@@ -56,104 +76,136 @@ class Attention:
         def table(rows: int, columns: int, scale: float) -> np.ndarray:
             return (rng.standard_normal((rows, columns)) * scale).astype(np.float32)
 
+        self.width = GROUP if classes % GROUP == 0 else classes
+        self.groups = classes // self.width
         self.q, self.k = table(slots, KEY, 0.3), table(slots, KEY, 0.3)
         self.v, self.r = table(slots, HIDDEN, 0.3), table(slots, HIDDEN, 0.3)
         self.ages = np.linspace(0, -1, SPAN).astype(np.float32)
-        self.w, self.b = table(HIDDEN, classes, 0.1), np.zeros(classes, np.float32)
+        self.w, self.b = table(HIDDEN, self.groups + classes, 0.1), np.zeros(self.groups + classes, np.float32)
 
     def copy(self) -> Attention:
         other = object.__new__(Attention)
-        other.__dict__ = {name: value.copy() for name, value in self.__dict__.items()}
+        other.__dict__ = {name: value.copy() if isinstance(value, np.ndarray) else value for name, value in self.__dict__.items()}
         return other
 
     def forward(self, now: np.ndarray, before: np.ndarray, opening: np.ndarray, bounded: bool = False):
         """Hidden states of a batch of blocks and what the gradient needs; ``bounded``: no weight's exp can overflow."""
         both = np.concatenate((before, now), axis=1)
         q, k, v = np.take(self.q, now, axis=0), np.take(self.k, both, axis=0), np.take(self.v, both, axis=0)
-        age, future = _ages()
+        q *= np.float32(KEY**-0.5)
         scores = q @ k.transpose(0, 2, 1)
-        scores *= np.float32(KEY**-0.5)
-        scores += np.where(future, np.float32(-1e9), self.ages[age])
+        scores += self.ages[AGE] + MASK
         scores[opening, :, :STRIDE] = -1e9
         if not bounded:
             scores -= scores.max(axis=2, keepdims=True)
         np.exp(scores, out=scores)
-        scores /= scores.sum(axis=2, keepdims=True)
-        hidden = np.tanh(scores @ v + np.take(self.r, now, axis=0))
+        scores /= _sums(scores)[..., None]
+        hidden = scores @ v
+        hidden += np.take(self.r, now, axis=0)
+        np.tanh(hidden, out=hidden)
         return hidden, (both, q, k, v, scores)
 
     def bounded(self) -> bool:
         """Whether no weight's exp can overflow."""
-        longest_q, longest_k = (float(np.sqrt((t * t).sum(axis=1).max())) for t in (self.q, self.k))
+        longest_q, longest_k = (float(np.sqrt(np.einsum("ij,ij->i", t, t).max())) for t in (self.q, self.k))
         return longest_q * longest_k * KEY**-0.5 + float(np.abs(self.ages).max()) < 40
 
     def small(self) -> bool:
         """Whether no class's exp can overflow; hidden states are within -1 and 1."""
         return float((np.abs(self.w).sum(axis=0) + np.abs(self.b)).max()) < 80
 
+    def _sorted(self, wanted: np.ndarray) -> np.ndarray:
+        """Cells that count, in the order of their wanted groups."""
+        group = np.where(wanted < 0, -1, wanted // np.int32(self.width)).astype(np.int16)
+        order = np.argsort(group, kind="stable")
+        return order[np.count_nonzero(group < 0) :]
+
+    def _odds(self, states: np.ndarray, wanted: np.ndarray, small: bool):
+        """(natural log probability of the wanted classes, odds of the groups and of the wanted group's classes, their sums,
+        place of what is wanted in both, columns and rows of each group). ``states`` end with 1, for the bias; rows are in
+        the order of the wanted groups."""
+        group, place = np.divmod(wanted, np.int32(self.width))
+        ends = np.cumsum(np.bincount(group, minlength=self.groups)).tolist()
+        spans = [
+            (slice(self.groups + g * self.width, self.groups + (g + 1) * self.width), slice(start, end))
+            for g, (start, end) in enumerate(zip([0, *ends], ends)) if start < end
+        ]
+        weights = np.concatenate((self.w, self.b[None]))
+        odds = states @ weights[:, : self.groups], np.empty((len(states), self.width), np.float32)
+        for columns, rows in spans:
+            np.matmul(states[rows], weights[:, columns], out=odds[1][rows])
+        wanted_at, sums, found = [], [], np.zeros(len(states), np.float64)
+        for logits, chosen in zip(odds, (group, place)):
+            if not small:
+                logits -= logits.max(axis=1, keepdims=True)
+            wanted_at.append(np.arange(0, logits.size, logits.shape[1]) + chosen)
+            found += logits.reshape(-1)[wanted_at[-1]]
+            np.exp(logits, out=logits)
+            sums.append(_sums(logits))
+            found -= np.log(sums[-1])
+        return found, odds, sums, wanted_at, spans
+
     def train(self, now, before, opening, classes, rates: dict, rate: float) -> float:
         """One step of Adagrad on a batch; cells whose class is -1 don't count. Returns the mean loss."""
         hidden, (both, q, k, v, p) = self.forward(now, before, opening, self.bounded())
         flat, wanted = hidden.reshape(-1, HIDDEN), classes.reshape(-1)
-        real = np.flatnonzero(wanted >= 0)
-        some = flat[real]
-        logits = some @ self.w
-        logits += self.b
-        if not self.small():
-            logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        at = (np.arange(len(real)), wanted[real])
-        total = logits.sum(axis=1)
-        loss = float(-np.log(np.maximum(logits[at] / total, 1e-12)).mean())
-        logits *= (1 / (total * np.float32(len(real))))[:, None]
-        logits[at] -= np.float32(1 / len(real))
-        d_flat = np.zeros_like(flat)
-        d_flat[real] = logits @ self.w.T
-        d_pre = (d_flat * (1 - flat**2)).reshape(hidden.shape)
-        d_p = d_pre @ v.transpose(0, 2, 1)
-        d_v = p.transpose(0, 2, 1) @ d_pre
-        d_s = p * (d_p - (d_p * p).sum(axis=2, keepdims=True))
-        age, future = _ages()
-        d_age = np.bincount(age[~future], d_s.sum(axis=0)[~future], SPAN).astype(np.float32)
-        d_s *= np.float32(KEY**-0.5)
-        d_q, d_k = d_s @ k, d_s.transpose(0, 2, 1) @ q
-        dense = {"w": some.T @ logits, "b": logits.sum(axis=0), "ages": d_age}
-        for name, grad in dense.items():
+        real = self._sorted(wanted)
+        some = _with_one(flat, real)
+        found, odds, sums, wanted_at, spans = self._odds(some, wanted[real], self.small())
+        for shares, total, at in zip(odds, sums, wanted_at):
+            part = np.float32(1 / max(len(real), 1))
+            shares *= (part / total)[:, None]
+            shares.reshape(-1)[at] -= part
+        d_weights = np.zeros((HIDDEN + 1, len(self.b)), np.float32)
+        outer, inner = odds
+        np.matmul(some.T, outer, out=d_weights[:, : self.groups])
+        d_some = outer @ self.w[:, : self.groups].T
+        for columns, rows in spans:
+            d_some[rows] += inner[rows] @ self.w[:, columns].T
+            d_weights[:, columns] = some[rows].T @ inner[rows]
+        some = some[:, :HIDDEN]
+        d_some *= 1 - some * some
+        size = KEY + HIDDEN
+        d_now, d_both = np.empty((*now.shape, size), np.float32), np.empty((*both.shape, size), np.float32)
+        d_pre = np.zeros_like(hidden)
+        d_pre.reshape(-1, HIDDEN)[real] = d_some
+        d_now[..., KEY:] = d_pre
+        d_s = d_pre @ v.transpose(0, 2, 1)
+        d_s -= np.einsum("bij,bij->bi", d_s, p)[..., None]
+        d_s *= p
+        np.matmul(p.transpose(0, 2, 1), d_pre, out=d_both[..., KEY:])
+        np.matmul(d_s.transpose(0, 2, 1), q, out=d_both[..., :KEY])
+        d_age = np.bincount(AGE[~LATER], d_s.sum(axis=0)[~LATER], SPAN).astype(np.float32)
+        np.multiply(d_s @ k, np.float32(KEY**-0.5), out=d_now[..., :KEY])
+        for name, grad in {"w": d_weights[:-1], "b": d_weights[-1], "ages": d_age}.items():
             rates[name] += grad**2
             value = getattr(self, name)
             value -= rate * grad / np.sqrt(rates[name])
-        for names, at, grads in (("qr", now, (d_q, d_pre)), ("kv", both, (d_k, d_v))):
+        for names, at, grads in (("qr", now, d_now), ("kv", both, d_both)):
             ids = at.reshape(-1)
             order = np.argsort(ids.astype(np.int16), kind="stable")  # slots are few; short integers are sorted by their digits
             ordered = ids[order]
             starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
             touched = ordered[starts]
-            for name, grad in zip(names, grads):
-                total = np.add.reduceat(grad.reshape(len(ids), -1)[order], starts, axis=0)
-                seen = rates[name][touched] + total**2
+            pairs = np.take(grads.reshape(-1, size), order, axis=0).view(np.complex64)  # two columns are added at once
+            total = np.add.reduceat(pairs, starts, axis=0).view(np.float32)
+            for name, grad in zip(names, (total[:, :KEY], total[:, KEY:])):
+                seen = rates[name][touched] + grad**2
                 rates[name][touched] = seen
-                getattr(self, name)[touched] -= rate * total / np.sqrt(seen)
-        return loss
+                getattr(self, name)[touched] -= rate * grad / np.sqrt(seen)
+        return float(-np.maximum(found, np.log(1e-12)).mean()) if len(found) else 0.0
 
     def log_probabilities(self, now, before, opening, classes) -> np.ndarray:
         """Natural log probability of the wanted class of every cell, 0 where it is -1."""
         out = np.zeros(now.shape, np.float64)
         bounded, small = self.bounded(), self.small()
-        odds = np.exp(self.b) if small else np.ones_like(self.b)
         for at in range(0, len(now), CHUNK):
             part = slice(at, at + CHUNK)
             hidden, _ = self.forward(now[part], before[part], opening[part], bounded)
-            # Padding goes along: a block's rows then lie alike in every product, so equal texts get equal sums.
-            flat, wanted = hidden.reshape(-1, HIDDEN), classes[part].reshape(-1)
-            logits = flat @ self.w
-            if not small:  # else exp can't overflow, and the bias is a factor after it
-                logits += self.b
-                logits -= logits.max(axis=1, keepdims=True)
-            chosen = logits[np.arange(len(wanted)), wanted]
-            if small:
-                chosen += self.b[wanted]
-            np.exp(logits, out=logits)
-            out[part] = np.where(wanted < 0, 0.0, chosen - np.log(logits @ odds)).reshape(-1, STRIDE)
+            wanted = classes[part].reshape(-1)
+            real = self._sorted(wanted)
+            found = self._odds(_with_one(hidden.reshape(-1, HIDDEN), real), wanted[real], small)[0]
+            out[part].reshape(-1)[real] = found
         return out
 
 
@@ -162,22 +214,30 @@ def previous(now: np.ndarray) -> np.ndarray:
     return np.concatenate((now[:1], now[:-1]))
 
 
-def contexts(ids: np.ndarray, lengths: np.ndarray, common: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, their sums, moments): the shares of the common ids in a text, summed over the occurrences of each id, and
+def contexts(ids: np.ndarray, lengths: np.ndarray, common: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sums for every id, moments): the shares of the common ids in a text, summed over the occurrences of each id, and
     their number, sum and sum of squares over the texts. They add up over parts of a corpus."""
-    texts, width = len(lengths), len(common)
-    place = np.full(size, -1)
-    place[common] = np.arange(width)
-    text_of, at = np.repeat(np.arange(texts), lengths), place[ids]
-    shares = np.bincount(text_of[at >= 0] * width + at[at >= 0], minlength=texts * width).reshape(texts, width)
-    shares = shares / np.maximum(lengths[:, None], 1)
-    moments = np.concatenate(([texts], shares.sum(axis=0), (shares**2).sum(axis=0)))
-    if not len(ids):
-        return np.zeros(0, np.int64), np.zeros((0, width)), moments
-    pairs, times = np.unique(ids.astype(np.int64) * texts + text_of, return_counts=True)
-    owner = pairs // texts
-    starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    return owner[starts], np.add.reduceat(shares[pairs % texts] * times[:, None], starts, axis=0), moments
+    sums, moments = np.zeros((size, len(common))), np.zeros(2 * len(common) + 1)
+    add_contexts(sums, moments, ids, lengths, common)
+    return sums, moments
+
+
+def add_contexts(sums: np.ndarray, moments: np.ndarray, ids: np.ndarray, lengths: np.ndarray, common: np.ndarray, texts: int = 64) -> None:
+    """Add the contexts of some texts, so few at once that a table of their ids is small."""
+    place, stops = np.full(len(sums), -1), np.append(0, np.cumsum(lengths))
+    place[common] = np.arange(len(common))
+    for start in range(0, len(lengths), texts):
+        some = lengths[start : start + texts]
+        mine, text_of = ids[stops[start] : stops[start + len(some)]], np.repeat(np.arange(len(some)), some)
+        found = np.flatnonzero(np.bincount(mine, minlength=len(sums)))
+        among = np.empty(len(sums), np.int64)
+        among[found] = np.arange(len(found))
+        times = np.bincount(among[mine] * len(some) + text_of, minlength=len(found) * len(some)).reshape(len(found), len(some))
+        shares, there = np.zeros((len(some), len(common))), place[found] >= 0
+        shares[:, place[found[there]]] = times[there].T
+        shares /= np.maximum(some[:, None], 1)
+        sums[found] += times @ shares
+        moments += np.concatenate(([len(some)], shares.sum(axis=0), (shares**2).sum(axis=0)))
 
 
 def classes_of(counts: np.ndarray, sums: np.ndarray, moments: np.ndarray) -> np.ndarray:
@@ -226,7 +286,9 @@ def begin(counts: np.ndarray, classes: np.ndarray, texts: int) -> dict:
     slot[common] = np.arange(len(common))
     net = Attention(INPUTS + 2, CLASSES)  # the last slot opens a text
     seen = np.bincount(classes, np.append(counts, texts), CLASSES) + 0.5
-    net.b[:] = np.log(seen / seen.sum())
+    groups = seen.reshape(net.groups, net.width).sum(axis=1)
+    net.b[: net.groups] = np.log(groups / groups.sum())
+    net.b[net.groups :] = np.log(seen / np.repeat(groups, net.width))
     rates = {n: np.full_like(getattr(net, n), 1e-6) for n in (*TABLES, *DENSE)}
     return {"slot": slot, "classes": classes, "net": net, "rates": rates}
 
@@ -253,9 +315,7 @@ def learn(model: dict, blocks: tuple, passes: int, rate: Callable[[float], float
 def fit(ids: np.ndarray, lengths: np.ndarray, size: int, steps: int = 1500, batch: int = 64, rate: float = 0.1) -> dict:
     """A model trained on texts held whole, for about ``steps`` steps. ``size``: ids are below it; it stands for the end."""
     counts = np.bincount(ids, minlength=size)
-    found, some, moments = contexts(ids, lengths, most_common(counts), size)
-    sums = np.zeros((size, some.shape[1]))
-    sums[found] = some
+    sums, moments = contexts(ids, lengths, most_common(counts), size)
     model = begin(counts, classes_of(counts, sums, moments), len(lengths))
     if len(lengths):
         blocks = cells(model, ids, lengths)

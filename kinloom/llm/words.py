@@ -8,6 +8,8 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from .common import cut_lineage
 from .pieces import LONGEST
 
 TRACKED = 300_000  # words that a task counts at a time
+PART = 1 << 24  # bytes of texts that are cut into words at a time
 
 
 def lossy_counts(texts: Iterable[list[bytes]], least: int, tracked: int = TRACKED) -> Counter:
@@ -68,3 +71,22 @@ class Ranks:
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
 
+
+def byte_parts(texts: pa.Array, most: int = PART) -> Iterator[slice]:
+    """Rows of ``texts`` (binary) of at most ``most`` bytes together; a longer text is a part by itself."""
+    total, start = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)), 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(total, total[start] + most, side="right")) - 1)
+        yield slice(start, end)
+        start = end
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts in lower case, one binary array; their number in each text)."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    words, bounds = parts.flatten().cast(pa.binary()), parts.offsets.to_numpy()
+    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty string
+    if not real.all():
+        words = words.filter(pa.array(real))
+    upto = np.append(0, np.cumsum(real, dtype=np.int64))[bounds - bounds[0]]
+    return words, np.diff(upto)
