@@ -190,9 +190,13 @@ class Attention:
             pairs = np.take(grads.reshape(-1, size), order, axis=0).view(np.complex64)  # two columns are added at once
             total = np.add.reduceat(pairs, starts, axis=0).view(np.float32)
             for name, grad in zip(names, (total[:, :KEY], total[:, KEY:])):
-                seen = rates[name][touched] + grad**2
+                seen = np.take(rates[name], touched, axis=0)
+                seen += grad * grad
                 rates[name][touched] = seen
-                getattr(self, name)[touched] -= rate * grad / np.sqrt(seen)
+                np.sqrt(seen, out=seen)
+                np.divide(grad * np.float32(rate), seen, out=seen)
+                value = getattr(self, name)
+                value[touched] = np.take(value, touched, axis=0) - seen
         return float(-np.maximum(found, np.log(1e-12)).mean()) if len(found) else 0.0
 
     def log_probabilities(self, now, before, opening, classes) -> np.ndarray:

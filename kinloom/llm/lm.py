@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
@@ -33,7 +32,7 @@ from .pieces import LONGEST
 from .registry import query
 from .words import at_most, byte_parts, split_words
 
-HEAD = 1 << 18  # words that are broadcast
+HEAD = 1 << 19  # words that are broadcast
 STEPS, BATCH, RATE = 750, 128, 0.1  # blocks of a step; a small corpus is read again until so many steps are made
 SHARD_BLOCKS = 1 << 16  # blocks that a task trains on before its parameters are averaged with others'
 HELD_BLOCKS = 1 << 13  # blocks that are held to be taken in a random order
@@ -96,7 +95,8 @@ def word_counts(data: DataFrame) -> DataFrame:
                 for some in slices(len(counted), 50_000):
                     yield counted[some]
 
-    return data.select("_data", "_train").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    passed = data.select("_data", "_train").mapInArrow(run, "word binary, n long")
+    return passed.repartition("word").groupBy("word").agg(F.sum("n").alias("n"))  # few words meet before the shuffle
 
 
 def spelled(counts: DataFrame, vocabulary) -> DataFrame:
@@ -130,10 +130,10 @@ def corpus_statistics(words: DataFrame, train_docs: int) -> dict:
     whole = F.arrays_zip(
         F.concat(F.array("first"), "rest").alias("before"), F.concat("rest", F.array(F.lit(PIECES - 1))).alias("piece")
     )
-    steps = words.where("n > 0").select(F.inline(whole))
+    steps = cut_lineage(words.where("n > 0").select(F.inline(whole)).groupBy("before", "piece").count())
     singles = {c: np.zeros(PIECES) for c in ("before", "piece")}
     for c, total in singles.items():
-        for r in steps.groupBy(c).count().collect():
+        for r in steps.groupBy(c).agg(F.sum("count").alias("count")).collect():
             total[r[c]] = r["count"]
     places, common = {}, {}
     for c, most in (("before", BEFORE), ("piece", AFTER)):
@@ -144,7 +144,7 @@ def corpus_statistics(words: DataFrame, train_docs: int) -> dict:
     pairs = np.zeros((BEFORE + 1, AFTER + 1))
     if len(common["piece"]):
         inside = [F.col(c).isin(common[c].tolist()) for c in ("before", "piece")]
-        found = steps.where(inside[0] & inside[1]).groupBy("before", "piece").count().toPandas()
+        found = steps.where(inside[0] & inside[1]).toPandas()
         pairs[places["before"][found["before"]], places["piece"][found["piece"]]] = found["count"]
     later = singles["piece"] + 0.5
     return {
@@ -386,9 +386,8 @@ def score_texts(docs: DataFrame, train: str, vocabulary_json: str, key: str = "d
     """(key, n_tokens, n_known, train_tokens, base_score, score) of every whole text.
 
     ``train`` is a boolean column: the rows that are learned from. Tokens are the words
-    and one end. Null and empty texts are the end alone. Texts with the same key and text
-    (80 bits of hashes) share their join and each get a row. Without training rows all
-    counts are 0 and the model is untrained, but still scores. Other columns are ignored.
+    and one end. Null and empty texts are the end alone. Repeated rows each get a row.
+    Without training rows all counts are 0 and the model is untrained, but still scores. Other columns are ignored.
     """
     spark = docs.sparkSession
     vocabulary = share(spark, vocabulary_json)
@@ -401,7 +400,7 @@ def score_texts(docs: DataFrame, train: str, vocabulary_json: str, key: str = "d
     names = ["first", "base", "inner"]
     top = scored.join(few.select("word"), "word", "left_semi").select("word", *names).toArrow()
     shared = share(spark, (top.column("word").combine_chunks().cast(pa.binary()), *[np.append(top.column(c).to_numpy().astype(float), 0.0) for c in names]))
-    named = data.withColumn("_k", F.xxhash64(key, "_data")).withColumn("_m", (F.crc32("_data") % 65536).cast("int"))
+    named = data.select("*", F.xxhash64(key, "_data").alias("_k"), F.crc32("_data").alias("_m"), F.monotonically_increasing_id().alias("_id"))
     end_base = float(np.log10((learned["docs"] + 1) / (learned["tokens"] + learned["distinct"] + 1)))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,24 +412,27 @@ def score_texts(docs: DataFrame, train: str, vocabulary_json: str, key: str = "d
                 words, lengths = split_words(rows.column("_data"))
                 at = pc.index_in(words, value_set=frequent).fill_null(-1).to_numpy()
                 gaps = np.flatnonzero(at < 0)
-                strange = words.take(pa.array(gaps)).to_pylist()
+                strange = words.take(pa.array(gaps)).dictionary_encode()
+                number, distinct = strange.indices.to_numpy(), strange.dictionary
                 ids = first[at].astype(np.uint16)
-                ids[gaps] = rare.of(strange)
+                ids[gaps] = np.array(rare.of(distinct.to_pylist()), dtype=np.uint16)[number]
                 owner = np.repeat(np.arange(len(lengths)), lengths)
                 few = np.bincount(owner[gaps], minlength=len(lengths))
-                mine = [Counter(strange[e - n : e]) for e, n in zip(np.cumsum(few), few)]
+                pairs, times = np.unique(owner[gaps] * max(len(distinct), 1) + number, return_counts=True)
+                mine, which = np.divmod(pairs, max(len(distinct), 1))
+                bounds = pa.array(np.searchsorted(mine, np.arange(len(lengths) + 1)).astype(np.int32))
                 made = {
                     "n": lengths, "head_known": lengths - few, "head_base": np.bincount(owner, base[at], len(lengths)),
                     "head_inner": np.bincount(owner, inner[at], len(lengths)),
                     "ids": [ids[e - n : e].tobytes() for e, n in zip(np.cumsum(lengths), lengths)],
-                    "words": pa.array([list(c) for c in mine], pa.list_(pa.binary())),
-                    "times": pa.array([list(c.values()) for c in mine], pa.list_(pa.int32())),
+                    "words": pa.ListArray.from_arrays(bounds, distinct.take(pa.array(which))),
+                    "times": pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int32))),
                 }
-                copied = {c: rows.column(c) for c in (key, "_k", "_m", "_train")}
+                copied = {c: rows.column(c) for c in (key, "_k", "_m", "_id", "_train")}
                 yield pa.record_batch({**copied, **{c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in made.items()}})
 
     kind = docs.schema[key].dataType.simpleString()
-    row = f"`{key}` {kind}, _k long, _m int, _train boolean, n long, head_known long, head_base double, head_inner double"
+    row = f"`{key}` {kind}, _k long, _m long, _id long, _train boolean, n long, head_known long, head_base double, head_inner double"
     coded = cut_lineage(named.mapInArrow(code, f"{row}, ids binary, words array<binary>, times array<int>"))
     model = attention.begin(learned["count"], piece_classes(coded, learned["count"]), learned["docs"])
     model = train_attention(coded, model)
@@ -444,21 +446,21 @@ def score_texts(docs: DataFrame, train: str, vocabulary_json: str, key: str = "d
                 total = attention.score(model, *coded_ids(rows), within) / LN10
                 yield rows.drop(columns=["ids", "head_inner"]).assign(head_score=rows["head_inner"] + total)
 
-    attended = coded.select(key, "_k", "_m", "n", "head_known", "head_base", "head_inner", "ids").mapInPandas(
-        attend, f"`{key}` {kind}, _k long, _m int, n long, head_known long, head_base double, head_score double"
+    attended = coded.select(key, "_id", "n", "head_known", "head_base", "head_inner", "ids").mapInPandas(
+        attend, f"`{key}` {kind}, _id long, n long, head_known long, head_base double, head_score double"
     )
-    # repeated rows send their rare words once each: they are counted in one row only
+    # the numbers of the rows are written with them, so repeated rows are told apart
     each = F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("times").alias("times")))
-    rare_rows = coded.where(F.size("words") > 0).select("_k", "_m", each).dropDuplicates(["_k", "_m", "word"])
+    rare_rows = coded.where(F.size("words") > 0).select("_id", each)
     sums = (
         rare_rows.join(scored.select("word", "n", "base", "inner"), "word")
-        .groupBy("_k", "_m")
+        .groupBy("_id")
         .agg(
             F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"),
             F.sum(F.col("base") * F.col("times")).alias("base"), F.sum(F.col("inner") * F.col("times")).alias("inner"),
         )
     )
-    whole = attended.join(sums, ["_k", "_m"], "left")
+    whole = attended.join(sums, "_id", "left")
     zero = F.lit(0.0)
     return whole.select(
         key, (F.col("n") + 1).alias("n_tokens"),
